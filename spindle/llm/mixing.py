@@ -145,8 +145,8 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
 
     ``docs`` has doc_id, source and ``text``; other columns are left out. Sources go by code point, null last. Null and
     empty texts have size 0 and 0 copies. ``row_key`` hashes doc_id, source and text; repeated rows have one row each,
-    interchangeable. An empty table gives no rows. The words of a source differ from its target by less than its last
-    fractional document, one of the smallest, and no document has more than ``limit`` copies.
+    interchangeable. An empty table gives no rows. The words of a source differ from its target by at most half of its last
+    fractional document, and no document has more than ``limit`` copies.
     """
     spark = docs.sparkSession
     key = _row_key(text).alias("row_key")
@@ -171,8 +171,8 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
         parts.append(rounded.where(F.col("extra").isNotNull()))
         left = rounded.where(F.col("extra").isNull())
         if buckets == 1:
-            # one fractional document of a source at most: round it at random
-            parts.append(left.withColumn("extra", (_chance(99, seed) < F.col("fraction")).cast("long")))
+            # one fractional document of a source is left, with none to pair it with: the nearer integer
+            parts.append(left.withColumn("extra", (F.col("fraction") >= 0.5).cast("long")))
             break
         level, buckets = level + 1, math.ceil(buckets / FAN_IN)
         start = left.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN) if buckets > 1 else F.lit(0).cast("long")).select(*names[:-1], _chance(level, seed))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, mixing, packing, repetition, secrets
+from . import chat, html_text, mixing, neardup, packing, repetition, secrets, topk
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.digest(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(read_table(spark, sf_dir, "conversations"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(read_table(spark, sf_dir, "pages"))
 
@@ -35,7 +43,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op4_best_fit_packing, op6_chat_formatting, op9_html_extraction, op10_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_exact_top_k, op3_quality_rules, op4_best_fit_packing, op6_chat_formatting, op7_near_duplicates, op9_html_extraction, op10_mixing,
+    )
+}
 
-ORACLES: dict[str, str] = {"op6_chat_formatting": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_exact_top_k": topk.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL}
