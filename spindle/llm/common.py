@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 SPACES = " \t\n\r\x0b\x0c"
 
 _written: dict[str, list[str]] = {}
+_pinned: dict[str, list[str]] = {}
 
 
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
@@ -39,15 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives the loss of executors.
 
-    Tables live until :func:`release` or the end of the process.
+    Tables live until :func:`release`, ``pinned`` ones until the end of the process.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/spindle-{app}/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(app, []).append(path)
+    (_pinned if pinned else _written).setdefault(app, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,6 +69,8 @@ def _release_at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
         try:
+            for path in _pinned.pop(spark.sparkContext.applicationId, []):
+                _delete(spark, path)
             release(spark)
         except Exception:  # the JVM may be gone already at exit; the folder is then the cluster's to clear
             pass

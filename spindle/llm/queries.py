@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, mixing, neardup, packing, repetition, secrets, topk
+from . import chat, html_text, mixing, neardup, packing, quality, repetition, secrets, topk, toxicity
 from .common import read_table
 
 
@@ -26,6 +26,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(read_table(spark, sf_dir, "conversations"))
 
@@ -34,6 +38,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(read_table(spark, sf_dir, "pages"))
 
@@ -45,7 +53,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_exact_top_k, op3_quality_rules, op4_best_fit_packing, op6_chat_formatting, op7_near_duplicates, op9_html_extraction, op10_mixing,
+        op1_secret_scan, op2_exact_top_k, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_chat_formatting,
+        op7_near_duplicates, op8_toxicity, op9_html_extraction, op10_mixing,
     )
 }
 
