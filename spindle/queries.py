@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import strings
+from .functions.convert import converted
 from .graph import Graph
 from .operators import graph_ops as ops
 from .operators import perf, search
 from .plans import pattern, testgraph
 from .plans.testgraph import WITH
+from .sources import files
+from .streaming import log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,6 +284,92 @@ add(
 )
 
 
+# ---------------------------------------------------------------- extraction and conversion over the tables
+
+
+def _extraction(spark: SparkSession, sf_dir: str, table: str, path: str, content: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(path).alias("rel_path"), F.expr(content).cast("binary").alias("content"))
+    return files.extract_files(rows).entities.select("rel_path", "id", "name", "type")
+
+
+def _pages_as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extraction(spark, sf_dir, "pages", "concat('p/', page_id, '.html')", "html")
+
+
+_SOURCES = """concat('# Part ', p_partkey, '\n\n## ', p_name, '\n\n```mermaid\ngraph TD\nA[', p_brand, '] --> B{', p_type, '}\n```\n')"""
+add("ex16_markdown_topics", lambda spark, sf_dir: _extraction(spark, sf_dir, "part", "concat('docs/', p_partkey, '.md')", _SOURCES))
+add("ex17_html_outline", _pages_as_entities)
+_YAML_TEXT = "concat('kind: ', p_brand, '\nmetadata:\n  name: ', p_name, '\nspec:\n  size: ', p_size, '\n')"
+add("ex18_yaml_names", lambda spark, sf_dir: _extraction(spark, sf_dir, "part", "concat('k8s/', p_partkey, '.yaml')", _YAML_TEXT))
+_PY_TEXT = "concat('import os\n\ndef run_', p_partkey, '():\n    helper(1)\n\ndef helper(x):\n    return os.getcwd()\n\nclass Part', p_partkey, ':\n    pass\n')"
+add(
+    "ex3_python_source", lambda spark, sf_dir: _extraction(spark, sf_dir, "part", "concat('src/', p_partkey, '.py')", _PY_TEXT),
+    "WITH f AS (SELECT concat('src/', p_partkey, '.py') AS rel_path, p_partkey AS k FROM part) "
+    "SELECT rel_path, concat('file:', rel_path) AS id, rel_path AS name, 'file' AS type FROM f UNION ALL SELECT rel_path, 'import:os', 'os', 'import' FROM f "
+    "UNION ALL SELECT rel_path, concat('function:', rel_path, ':run_', k), concat('run_', k), 'function' FROM f UNION ALL SELECT rel_path, concat('function:', rel_path, ':helper'), 'helper', 'function' FROM f "
+    "UNION ALL SELECT rel_path, concat('type:', rel_path, ':Part', k), concat('Part', k), 'type' FROM f", graph=False,
+)
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log per user, made of its events, in the layout of a service log."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.when(F.col("event_type") == "error", " ERROR").otherwise("  INFO"), F.lit(" 1 --- [main] app.Service : "), F.when(F.col("event_type") == "error", "app.FailError: value").otherwise(F.col("event_type")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))), lambda x: x["line"]), "\n")
+    return e.groupBy("user_id").agg(text.alias("log_text")).select(F.concat(F.lit("logs/"), F.col("user_id").cast("string"), F.lit(".log")).alias("path"), "log_text")
+
+
+add(
+    "ex32_service_logs",
+    lambda spark, sf_dir: files.parse_logs(_logs(spark, sf_dir), 2024).select("path", "lines", "errors", "warnings", F.size("entities").cast("long").alias("entities")),
+    "SELECT concat('logs/', user_id, '.log') AS path, count(*) AS lines, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings, "
+    "count(DISTINCT CASE WHEN event_type = 'error' THEN CAST(ts AS DATE) END) AS entities FROM events GROUP BY user_id",
+    graph=False,
+)
+add("md2_html_to_markdown", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", converted(F.lit("p.html"), F.col("html").cast("binary")).alias("c")).select("page_id", "c.markdown", "c.error"))
+_CSV = "concat('name,size\n', p_name, ',', p_size, '\n')"
+add(
+    "md3_csv_to_markdown",
+    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", converted(F.lit("t.csv"), F.expr(_CSV).cast("binary")).alias("c")).select("p_partkey", "c.markdown"),
+    "SELECT p_partkey, concat('| ', rpad('name', w, ' '), ' | size |', chr(10), '| ', repeat('-', w), ' | ---- |', chr(10), '| ', rpad(p_name, w, ' '), ' | ', rpad(CAST(p_size AS VARCHAR), 4, ' '), ' |', chr(10)) AS markdown "
+    "FROM (SELECT *, CAST(greatest(4, length(p_name)) AS INTEGER) AS w FROM part)",
+    graph=False,
+)
+add("md4_json_to_markdown", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", converted(F.lit("e.json"), F.col("props").cast("binary")).alias("c")).select("event_id", "c.markdown"))
+add(
+    "md5_text_passthrough", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", converted(F.lit("d.txt"), F.col("text").cast("binary")).alias("c")).select("doc_id", F.length("c.markdown").cast("long").alias("n")),
+    "SELECT doc_id, length(text) AS n FROM documents", graph=False,
+)
+add("ex26_normalise_whitespace", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(strings.normalise_whitespace(F.col("text")).cast("binary")).alias("h")))
+add(
+    "sc4_byte_and_char_lengths", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.char_length("text").cast("long").alias("chars")),
+    "SELECT doc_id, strlen(text) AS bytes, length(text) AS chars FROM documents", graph=False,
+)
+add(
+    "sc5_summary_line", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", strings.summary_line(F.col("text")).alias("line")),
+    "SELECT doc_id, CASE WHEN length(t) > 300 THEN concat(left(t, 300), '…') ELSE t END AS line FROM (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS t FROM documents)", graph=False,
+)
+add(
+    "sc7_path_parts", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", strings.base_name(F.col("url")).alias("base"), strings.extension(F.lower("url")).alias("ext")),
+    "SELECT page_id, regexp_extract(url, '[^/]*$') AS base, regexp_extract(lower(url), '\\.[^./]*$') AS ext FROM pages", graph=False,
+)
+
+# ---------------------------------------------------------------- streams
+
+
+def _streamed(make: Callable[[DataFrame], DataFrame], label: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spindle-checkpoints").rstrip("/")
+        return log_stream.run_available(make(log_stream.read_events(spark, sf_dir)), f"{folder}/stream-{label}-{uuid.uuid4().hex}")
+
+    return run
+
+
+add("st1_dedup_errors", _streamed(lambda e: log_stream.dedup_errors(e).select("user_id", "event_type", "hour"), "st1"), "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events", graph=False)
+add("st2_hourly_counts", _streamed(log_stream.hourly_counts, "st2"))
+add("st3_crash_sessions", _streamed(log_stream.crash_sessions, "st3"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid keyword search with the newest observations of each hit."""
     g = testgraph.load(spark, sf_dir)

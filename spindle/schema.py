@@ -27,7 +27,7 @@ EXTRACTED = _struct(
 )
 
 #: Relation types that the command line accepts.
-RELATION_TYPES = ("CALLS", "IMPORTS", "CONTAINS", "BELONGS_TO", "FIXES", "SUPERSEDES", "CAUSED_BY", "DEPENDS_ON", "IMPLEMENTS", "RELATES_TO", "TESTS", "DOCUMENTS")
+RELATION_TYPES = ("BELONGS_TO", "CALLS", "CAUSED_BY", "CONTAINS", "DEPENDS_ON", "DOCUMENTS", "FIXES", "IMPLEMENTS", "IMPORTS", "RELATES_TO", "SUPERSEDES", "TESTS")
 
 
 def check_relation_type(rel_type: str, allowed: tuple[str, ...] = RELATION_TYPES) -> str:
