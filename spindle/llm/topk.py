@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, query_filter, k: int = 5) -> DataFrame:
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_shard_search(k), row_type(_HITS))
 
-    q = asked.select("key", "vec_id", "embedding", block)
+    q = asked.select("key", "vec_id", "embedding", block).toDF("key", "vec_id", "embedding", "block")  # columns of its own: both sides come from one table
     first = q.withColumns({"shard": F.pmod(F.col("block"), F.lit(shards)), "floor": low})
     own = rows.select("key", "vec_id", "embedding", "times", shard)
     every = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -172,7 +172,7 @@ def top_k(vectors: DataFrame, query_filter, k: int = 5) -> DataFrame:
         hits = hits.unionByName(meet(later.where(F.col("shard") != F.pmod(F.col("block"), F.lit(shards))), every.where(F.col("shard") != F.pmod(F.col("block"), F.lit(shards)))))
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    repeated = asked.where("times > 1").select(F.col("key").alias("query_key"), "times")
+    repeated = asked.where("times > 1").select("key", "times").toDF("query_key", "times")
     ranked = ranked.join(repeated, "query_key", "left").withColumn("_n", F.explode(F.expr("sequence(1L, coalesce(times, 1L))")))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
