@@ -28,6 +28,7 @@ FAN_IN = 256
 def targets(sizes: list[int], weights: list[float], limit: float = MAX_COPIES) -> list[float]:
     """Shares of the total by weight; what is above ``limit`` times a source's size is shared again by weight until none is."""
     total, stopped = float(sum(sizes)), [s == 0 for s in sizes]
+    limit = float(limit)
     out = [0.0] * len(sizes)
     while not all(stopped):
         left = total - sum(limit * s for s, x in zip(sizes, stopped) if x)

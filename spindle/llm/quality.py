@@ -39,7 +39,7 @@ def content_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The content view of each whole text, and its layout (code points, lines) for the other view."""
     data, offsets = utf8(texts)
     parts, layout = [np.zeros((0, len(CONTENT)))], [np.zeros((0, 2))]
-    for i, j in groups(offsets, 1_000_000):
+    for i, j in groups(offsets, 400_000):
         own, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         k = j - i
         total = lambda flags: np.diff(np.append(0, np.cumsum(flags))[edges]).astype(float)

@@ -21,7 +21,7 @@ MIN_REPEAT = 10
 MAX_COVERED = 0.3
 MAX_LONGEST = 400
 #: Bytes of the texts that share one suffix array; a single longer text has one of its own.
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 500_000
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")
 

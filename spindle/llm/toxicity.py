@@ -2,7 +2,7 @@
 
 Many voters, each a word of a lexicon or a pattern (words that start alike), say "toxic" or nothing. The lexicon is mined
 from the training rows. A generative label model of the votes, with a firing rate of every voter in either class and the
-covariance of the votes within classes, gives each training document a posterior label; a linear classifier fitted on
+correlations of the votes within classes, gives each training document a posterior label; a linear classifier fitted on
 those posteriors scores all documents.
 """
 
@@ -26,6 +26,8 @@ MAX_VOTERS = 500
 #: of the sample about one would look like that by chance.
 MIN_ODDS = 8.0
 PREFIX = 4
+#: How far the label model trusts a single label.
+LABEL_ACCURACY = 0.95
 #: Words that need no mining: they are voters wherever they occur in the sample.
 LEXICON = """
 asshole bastard bitch bullshit clown coward creep crap cretin damn despicable dirtbag disgusting dumb dumbass failure filth
@@ -53,26 +55,26 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), shown, batch.column(2)], names=["row", "terms", "toxic"])
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 15) -> np.ndarray:
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Posterior of the toxic class for each row of votes (0 or 1).
 
-    Expectation-maximisation over two classes with means (the voters' firing rates, hence their accuracies) and a shared
-    covariance of the votes within classes (their correlations, shrunk towards independence), from posteriors ``start``.
+    Expectation-maximisation over two classes. The annotators' label is one more voter, always heard and right in
+    ``LABEL_ACCURACY`` of all rows, which ties the classes to their meaning; every other voter has a firing rate in either class
+    (its accuracy), and the correlations of the votes within classes say how much of its evidence other voters repeat.
     """
-    p = start.astype(float)
-    n, m = votes.shape
+    n = len(votes)
+    anchor = (2 * labels - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
+    p = sigmoid(anchor)
     for _ in range(rounds):
-        one, zero = max(p.sum(), 1e-9), max((1 - p).sum(), 1e-9)
-        rate1, rate0 = (p @ votes + 0.1 * prior) / (one + 0.2), ((1 - p) @ votes + 0.001) / (zero + 0.2)
-        mean = p[:, None] * rate1 + (1 - p)[:, None] * rate0
-        apart = votes - mean
+        one, zero = p.sum(), (1 - p).sum()
+        rate1, rate0 = (p @ votes + 0.5) / (one + 1), ((1 - p) @ votes + 0.05) / (zero + 1)
+        apart = votes - (p[:, None] * rate1 + (1 - p)[:, None] * rate0)
         cov = apart.T @ apart / n
-        own = np.diag(cov) + 1e-3
-        cov = 0.5 * cov + np.diag(0.5 * np.diag(cov) + 1e-3)
-        weights = np.linalg.solve(cov, rate1 - rate0)
-        # votes only ever speak for one class: what correlation takes from a voter can't turn it round
-        weights = np.clip(weights, 0, (rate1 - rate0) / own * 2)
-        z = (votes - (rate1 + rate0) / 2) @ weights + np.log(prior / (1 - prior))
+        spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        corr = np.abs(cov / spread[:, None] / spread[None, :])
+        own = 1 / np.maximum(1, np.where(corr > 0.1, corr, 0).sum(axis=1))
+        fires, silent = np.maximum(np.log(rate1 / rate0), 0), np.minimum(np.log((1 - rate1) / (1 - rate0)), 0)
+        z = votes @ (own * (fires - silent)) + (own * silent).sum() + anchor
         new = sigmoid(z)
         if np.abs(new - p).max() < 1e-6:
             break
@@ -119,8 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MAX_
     apart = lambda x, of: F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
     gain = F.col("k") * (apart(share, prior) + apart(1 - share, 1 - prior))  # log likelihood over that of the prior
     clear = gain >= F.when(start, float(np.log(max(n_starts or 1, 1)))).otherwise(float(np.log(max(n_words or 1, 1))))
-    listed = F.col("term").isin(LEXICON) & (share > prior)
-    chosen = hits.withColumn("gain", gain).where(((odds >= MIN_ODDS) & clear) | listed)
+    chosen = hits.withColumn("gain", gain).where((odds >= MIN_ODDS) & (clear | F.col("term").isin(LEXICON)))
     voters = [r["term"] for r in chosen.orderBy(F.desc("gain"), "term").limit(MAX_VOTERS).collect()]  # bounded
     if not voters:
         return Classifier({}, base)
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MAX_
     for i, v in enumerate(fired["v"].to_pylist()):
         votes[i, [column[t] for t in v]] = 1
     y = fired["toxic"].to_numpy().astype(float)
-    posterior = label_model(votes, 0.9 * y + 0.05, one / n)
+    posterior = label_model(votes, y)
     w = logistic(votes, posterior, ridge=0.05)
     return Classifier({v.encode("latin-1"): round(float(w[j]), 6) for v, j in column.items()}, round(float(w[-1]), 6))
 
