@@ -76,6 +76,11 @@ def _release_at_exit() -> None:
             pass
 
 
+def packed(docs: DataFrame, **own) -> DataFrame:
+    """All columns of ``docs`` as one struct, ``row``, beside columns of our own, so that no names clash; ``row.*`` unpacks it."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in own.items()))
+
+
 def text_hash(column: str, seed: int = 0):
     """A 64-bit hash of a text; null counts as empty."""
     value = F.coalesce(F.col(column), F.lit(""))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_type, size_expr
+from .common import materialise, packed, row_type, size_expr
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -196,7 +196,7 @@ def repeat_documents(docs: DataFrame, text: str = "text", seed: int = 17) -> Dat
     Rows alike in doc_id, source and text share their copies: together they come as often as the mix takes them all.
     """
     made = mix(docs, text, seed=seed).where(F.col("copies") > 0)
-    total = made.groupBy("doc_id", "row_key").agg(F.sum("copies").alias("_copies")).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_own"), "_copies")
-    keyed = docs.withColumns({"_did": F.col("doc_id").cast("long"), "_key": _row_key(text)}).dropDuplicates(["_did", "_key"])
-    joined = keyed.join(total, (F.col("_key") == F.col("_own")) & F.col("_did").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    total = made.groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies")).toDF("mixed_id", "mixed", "copies")
+    once = packed(docs, own_id=F.col("doc_id").cast("long"), own=_row_key(text)).dropDuplicates(["own_id", "own"])
+    joined = once.join(total, (F.col("own") == F.col("mixed")) & F.col("own_id").eqNullSafe(F.col("mixed_id")))
+    return joined.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups, segment_hashes, utf8
+from .common import groups, packed, segment_hashes, utf8
 from .learn import logistic, sample, sigmoid
 
 #: Bounds of the fit: labelled rows, and unlabelled rows that the views label for each other.
@@ -174,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | float
     """
     taught = labels.select(F.col("doc_id").cast("long").alias("row"), F.col("quality").cast("int").alias("quality")).where(F.col("row").isNotNull() & F.col("quality").isin(0, 1))
     taught = sample(taught, "row", MAX_LABELLED, 5)
-    keyed = docs.withColumn("_row", F.col("doc_id").cast("long"))
-    inputs = _inputs(docs, text)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_row"), *(c.alias(n) for c, n in zip(_inputs(docs, text), ("_text", "_lang", "_source"))))
+    inputs = [F.col(c) for c in ("_text", "_lang", "_source")]
     known = keyed.join(F.broadcast(taught), F.col("_row") == F.col("row"))  # at most MAX_LABELLED rows of two numbers
     got = known.select("_row", "quality", views_of(*inputs).alias("v")).orderBy("_row").limit(MAX_LABELLED).toArrow()
     y = got["quality"].to_numpy().astype(float)
@@ -194,8 +194,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", into:
     Null counts as an empty text; null languages and sources are values of their own; equal rows get equal scores; a
     column named as ``into`` is replaced, others stay; an empty table gives an empty table. Scoring needs no shuffle.
     """
-    model = fit(docs, labels, text)
+    return docs.withColumn(into, _scorer(fit(docs, labels, text))(*_inputs(docs, text)))
 
+
+def _scorer(model: Model | float):
     @F.arrow_udf(T.DoubleType())
     def run(texts: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
         if isinstance(model, float):
@@ -203,12 +205,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", into:
         content, layout = content_features(texts)
         return pa.array(model.score([content, metadata_features(layout, lang.to_pylist(), source.to_pylist())]))
 
-    return docs.withColumn(into, run(*_inputs(docs, text)))
+    return run
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their own columns."""
-    return score_quality(docs, labels, text, "_quality").where(F.col("_quality") >= least).select(*docs.columns)
+    return packed(docs, score=_scorer(fit(docs, labels, text))(*_inputs(docs, text))).where(F.col("score") >= least).select("row.*")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
