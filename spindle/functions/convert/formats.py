@@ -142,8 +142,13 @@ class _Tree(HTMLParser):
             while self.stack[-1][0] != "p":
                 self.stack.pop()
             self.stack.pop()
-        if tag in ("li", "tr", "td", "th", "dt", "dd") and self.stack[-1][0] == tag:
-            self.stack.pop()
+        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(tag, ())
+        for k in range(len(self.stack) - 1, 0, -1):
+            if not ends or self.stack[k][0] in ("table", "ul", "ol", "dl"):
+                break
+            if self.stack[k][0] in ends and self.stack[k - 1][0] not in ends:
+                del self.stack[k:]
+                break
         node = (tag, dict(attrs), [])
         self.stack[-1][2].append(node)
         if tag not in _VOID:
@@ -196,7 +201,8 @@ def _blocks(nodes: list) -> list[str]:
     out, run = [], []
 
     def flush() -> None:
-        text = re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", _inline(run)).replace("  \n", "\0").replace(" \0", "\0")).replace("\0", "  \n").strip()
+        text = re.sub(r"[ \t]+", " ", _inline(run).replace("  \n", "\0"))
+        text = re.sub(r" *\0 *", "  \n", text.strip(" \0"))
         run.clear()
         if text:
             out.append(text)

@@ -17,10 +17,17 @@ _CALL = re.compile(rf"(?<![\w$])({_ID}(?:\s*\??\.\s*{_ID})*)\s*(?:\[[^\[\]()]*\]
 _TRAILING = re.compile(rf"(?<![\w$])({_ID}(?:\.{_ID})*)\s*\{{")
 _NOT_CALLS = frozenset(
     "if for while switch catch return func function def fun class new match when else do try await yield throw typeof sizeof in is not and or elif except with super this self synchronized using lock foreach fn "
-    "constructor init import package assert print_ defer go select case sealed object trait interface enum struct".split()
+    "constructor init import package assert defer select case sealed object trait interface enum struct".split()
 )
 
 
+#: Words that a declaration pattern may meet where a name stands.
+_NOT_NAMES = frozenset("if for while switch catch return function else do try new throw synchronized using lock foreach super this when await yield".split())
+#: Where a member may begin, and what can't be its type.
+_BEGIN = r"(?:^|(?<=[{};]))\s*"
+_NO_TYPE = r"(?!(?:return|new|else|throw|assert|await|yield|case|goto|import|using|package)\b)"
+
+
 def callee(text: str) -> str | None:
     """EX15: the last dotted segment, if it is an identifier."""
     last = text.replace("?", "").split(".")[-1].strip()
@@ -111,7 +118,7 @@ def scan(rel_path: str, text: str, lang: Language) -> Records:
                 if kind == "import" and plain[m.start() : m.end()].strip() == "":
                     continue  # within a comment
                 name = m[1].strip()
-                if kind == "import" or name and name not in _NOT_CALLS and not (lang.exported and not name[0].isupper()):
+                if kind == "import" or name and name not in _NOT_NAMES and not (lang.exported and not name[0].isupper()):
                     found.append((m.start(1), kind, name, m.end()))
     recorded: list[tuple[int, int, str]] = []
     for start, kind, name, end in sorted(found):
@@ -121,7 +128,7 @@ def scan(rel_path: str, text: str, lang: Language) -> Records:
         else:
             eid = out.member(kind, name)
             if kind == "function":
-                recorded.append((start, body_end(plain, end), eid))
+                recorded.append((start, body_end(plain, end - (plain[end - 1] in "{;\n")), eid))
     if lang.calls and recorded:
         places = [(m.start(1), m[1]) for m in _CALL.finditer(plain)]
         if lang.trailing:
@@ -165,7 +172,7 @@ def scala_imports(raw: str) -> list[str]:
 _C_FUNC = r"^(?:[A-Za-z_][\w\s*&:<>,~]*?[\s*&])([A-Za-z_~][\w:~]*)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const\s*|noexcept\s*|override\s*)*\{"
 _JS = dict(
     functions=[
-        rf"\bfunction\s*\*?\s*({_ID})\s*(?:<[^>]*>)?\(", rf"^\s*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?({_ID})\s*(?:<[^>]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{;=]+)?\{{",
+        rf"\bfunction\s*\*?\s*({_ID})\s*(?:<[^>]*>)?\(", rf"{_BEGIN}(?:(?:async|get|override|private|protected|public|readonly|set|static)\s+)*\*?({_ID})\s*(?:<[^>]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{;=]+)?\{{",
     ],
     types=[rf"\bclass\s+({_ID})", rf"\binterface\s+({_ID})"],
     imports=[r"^\s*import\b[^;\n'\"]*?(?:from\s*)?(['\"][^'\"\n]+['\"])", r"^\s*import\s*\{[^}]*\}\s*from\s*(['\"][^'\"\n]+['\"])"],
@@ -179,7 +186,10 @@ LANGUAGES: dict[str, Language] = {
         [r"^import\s+(?:[\w.]+\s+)?(\"[^\"\n]+\")", r"^\s+(?:[\w.]+\s+)?(\"[^\"\n]+\")\s*$"], r"^package\s+(\w+)", True, False, True, quotes=('"', "`", "'"),
     ),
     "java": Language(
-        [rf"^\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>]+>\s*)?(?:[\w.$]+(?:<[^(){{}};]*>)?(?:\[\])*\s+)?({_ID})\s*\([^;{{}}]*\)\s*(?:throws\s+[\w.,\s]+)?[{{;]"],
+        [
+            rf"{_BEGIN}(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:abstract|default|final|native|private|protected|public|static|synchronized)\s+)*(?:<[^>]+>\s*)?{_NO_TYPE}[\w.$]+(?:<[^(){{}};]*>)?(?:\[\])*\s+({_ID})\s*\([^;{{}}]*\)\s*(?:throws\s+[\w.,\s]+)?[{{;]",
+            rf"{_BEGIN}(?:(?:public|private|protected)\s+)?([A-Z]\w*)\s*\([^;{{}}]*\)\s*(?:throws\s+[\w.,\s]+)?\{{",
+        ],
         [rf"\b(?:class|interface|enum)\s+({_ID})"], [r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"], r"^\s*package\s+([\w.]+)\s*;", True,
     ),
     "kotlin": Language(
@@ -196,7 +206,10 @@ LANGUAGES: dict[str, Language] = {
         [r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)"], [r"^\s*(?:class|module)\s+([A-Z]\w*(?:::\w+)*)"], [r"^\s*require(?:_relative)?\s*\(?\s*(['\"][^'\"\n]+['\"])"], line=("#",), block=(("=begin", "=end"),),
     ),
     "csharp": Language(
-        [rf"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|extern|partial|new|unsafe)\s+)*(?:[\w.]+(?:<[^(){{}};]*>)?(?:\[\])*\??\s+)?({_ID})\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?::\s*(?:base|this)\([^)]*\)\s*)?(?:where[^{{]*)?(?:\{{|=>|;)"],
+        [
+            rf"{_BEGIN}(?:\[[^\]]*\]\s*)*(?:(?:abstract|async|extern|internal|new|override|partial|private|protected|public|sealed|static|unsafe|virtual)\s+)*{_NO_TYPE}[\w.]+(?:<[^(){{}};]*>)?(?:\[\])*\??\s+({_ID})\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?:where[^{{]*)?(?:\{{|=>|;)",
+            rf"{_BEGIN}(?:(?:internal|private|protected|public|static)\s+)*([A-Z]\w*)\s*\([^;{{}}]*\)\s*(?::\s*(?:base|this)\([^)]*\)\s*)?\{{",
+        ],
         [rf"\b(?:class|interface|struct)\s+({_ID})"], [r"^\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*;"],
     ),
     "typescript": Language(**(_JS | {"types": [*_JS["types"], rf"\btype\s+({_ID})\s*(?:<[^>]*>)?="]})),

@@ -88,8 +88,8 @@ class Store:
         m["version"] += 1
         self._publish(m)
 
-    def _row(self, name: str, **values) -> DataFrame:
-        return self.spark.createDataFrame([tuple(values.get(c) for c in _SCHEMAS[name].names)], _SCHEMAS[name])
+    def _row(self, table: str, /, **values) -> DataFrame:
+        return self.spark.createDataFrame([tuple(values.get(c) for c in _SCHEMAS[table].names)], _SCHEMAS[table])
 
     def compact(self) -> None:
         """Write a new snapshot without changes behind it."""
