@@ -26,7 +26,7 @@ MARKER = "[VIA:mcp]"
 
 def truthy(value: str | None) -> bool:
     """SC23: anything but an empty string, 0, false, no and off."""
-    return (value or "").strip().lower() not in ("", "0", "false", "no", "off")
+    return (value or "").strip().lower() not in ("off", "no", "false", "0", "")
 
 
 def as_text(hits: DataFrame) -> str:
@@ -210,7 +210,8 @@ def handle(tools: Tools, request: dict) -> dict | None:
     except Exception as e:  # told to the caller as content
         result, failed = str(e), True
     text = result if isinstance(result, str) else json.dumps(result, ensure_ascii=False, default=str)
-    return answer(result={"content": [{"type": "text", "text": text}], "isError": failed})
+    part = {"text": text, "type": "text"}
+    return answer(result={"isError": failed, "content": [part]})
 
 
 def serve(tools: Tools, lines=sys.stdin, write: Callable[[str], object] = sys.stdout.write) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.DOTALL)
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.DOTALL)
 _STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
 _REF = re.compile(rb"(\d+)\s+\d+\s+R")
 _SHOW = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)\s*(?:Tj|'|\")|\[(?:[^\[\]\\()]|\((?:\\.|[^\\()])*\))*\]\s*TJ|<[0-9A-Fa-f\s]*>\s*Tj|\bT[dDm*]|\bET\b", re.DOTALL)
@@ -48,7 +48,7 @@ def pages(content: bytes) -> list[str]:
         raise ValueError("not a PDF file")
     if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", content):
         return []
-    objects = {int(n): body for n, _, body in _OBJECT.findall(content)}
+    objects = {int(n): body for n, body in _OBJECT.findall(content)}
     for body in list(objects.values()):  # objects within object streams
         m = _STREAM.match(body)
         if m and b"/ObjStm" in m[1]:

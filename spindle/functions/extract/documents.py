@@ -129,7 +129,7 @@ _YAML_NAMES = frozenset("kind name image module resource service stage job compo
 def yaml_significant(value: str) -> bool:
     """At least 3 bytes, not a number or truth word, nor anything of at most 8 bytes that starts with v."""
     size = len(value.encode())
-    if size < 3 or re.fullmatch(r"[0-9]+", value) or value.lower() in ("true", "false", "null", "yes", "no", "on", "off"):
+    if size < 3 or re.fullmatch(r"[0-9]+", value) or value.lower() in ("null", "on", "off", "yes", "no", "true", "false"):
         return False
     return not (value.startswith("v") and size <= 8)
 
@@ -213,9 +213,10 @@ def json_schema(rel_path: str, text: str) -> Records:
 
 _A = re.ASCII | re.IGNORECASE
 _NAME = r"([^\W\d]\w*)"
-_GQL_TYPE = re.compile(rf"\s*(?:extend\s+)?(?:{'|'.join(('enum', 'input', 'interface', 'scalar', 'type', 'union'))})\s+{_NAME}", _A)
+_EXTEND = r"\s*(?:extend\s+)?"
+_GQL_TYPE = re.compile(rf"{_EXTEND}(?:{'|'.join(('enum', 'input', 'interface', 'scalar', 'type', 'union'))})\s+{_NAME}", _A)
 _GQL_DIRECTIVE = re.compile(rf"\s*directive\s+@{_NAME}", _A)
-_GQL_ROOT = re.compile(r"\s*(?:extend\s+)?type\s+(?:Mutation|Query|Subscription)\b", _A)
+_GQL_ROOT = re.compile(rf"{_EXTEND}type\s+(?:Mutation|Query|Subscription)\b", _A)
 _GQL_FIELD = re.compile(rf"\s+{_NAME}\s*[(:]", re.ASCII)
 
 

@@ -19,7 +19,7 @@ from ..graph import Graph
 
 # ---------------------------------------------------------------- guard
 
-WRITE_WORDS = ("CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "CALL", "LOAD", "FOREACH")
+WRITE_WORDS = tuple("CALL CREATE DELETE DETACH DROP FOREACH LOAD MERGE REMOVE SET".split())
 _GUARD = re.compile(rf"(?-i:(?<![0-9A-Za-z_]))(?:{'|'.join(WRITE_WORDS)})(?-i:(?![0-9A-Za-z_]))", re.IGNORECASE)
 
 

@@ -82,7 +82,7 @@ add("j1_typed_hop", on_graph(lambda g: ops.hop(g, "BELONGS_TO", "customer", "nat
 add("j2_any_hop", on_graph(lambda g: ops.hop(g, None, "nation", None)), f"{_HOP} WHERE a.type = 'nation'")
 add("j3_entity_observations", on_graph(ops.with_observations), "SELECT e.id AS entity_id, e.name, e.type, e.project_id, o.id AS obs_id, o.content FROM entity e JOIN observation o ON o.entity_id = e.id WHERE o.linked")
 add("j4_pair_by_ids", cypher("MATCH (a:Entity), (b:Entity) WHERE a.id = $x AND b.id = $y RETURN a.id AS from_id, b.id AS to_id", x="customer:1", y="nation:3"), "SELECT a.id AS from_id, b.id AS to_id FROM entity a, entity b WHERE a.id = 'customer:1' AND b.id = 'nation:3'")
-add("j5_semi_join", cypher("MATCH (e:Entity) WHERE EXISTS { MATCH (e)-[:HAS_OBSERVATION]->(o:Observation) WHERE o.content CONTAINS 'purchase' } RETURN e.id AS id"), "SELECT id FROM entity e WHERE EXISTS (SELECT 1 FROM observation o WHERE o.linked AND o.entity_id = e.id AND contains(o.content, 'purchase'))")
+add("j5_semi_join", cypher("MATCH (n:Entity) WHERE EXISTS { MATCH (n)-[:HAS_OBSERVATION]->(x:Observation) WHERE x.content CONTAINS 'purchase' } RETURN n.id AS id"), "SELECT id FROM entity e WHERE EXISTS (SELECT 1 FROM observation o WHERE o.linked AND o.entity_id = e.id AND contains(o.content, 'purchase'))")
 add("j6_orphans", on_graph(lambda g: ops.orphans(g).select("id", "type")), "SELECT id, type FROM entity e WHERE NOT EXISTS (SELECT 1 FROM relation r WHERE r.to_id = e.id)")
 add(
     "j8_load_relations", on_graph(lambda g: ops.load_relations(g.entity.where("project_id = 'p1'"), g.relation)),
@@ -138,7 +138,7 @@ add("p6_lower", cypher("MATCH (e:Entity) WHERE lower(e.name) CONTAINS 'urgent' R
 add("p7_and_or_not", cypher("MATCH (e:Entity) WHERE (e.type = 'nation' OR e.type = 'region') AND NOT e.project_id = 'p1' RETURN e.id AS id"), "SELECT id FROM entity WHERE type IN ('nation', 'region') AND NOT project_id = 'p1'")
 add(
     "p8_exists_under_or",
-    cypher("MATCH (e:Entity) WHERE e.name CONTAINS '00001' OR EXISTS { MATCH (e)-[:HAS_OBSERVATION]->(o:Observation) WHERE lower(o.content) CONTAINS 'signup' } RETURN e.id AS id"),
+    cypher("MATCH (n:Entity) WHERE n.name CONTAINS '00001' OR EXISTS { MATCH (n)-[:HAS_OBSERVATION]->(x:Observation) WHERE lower(x.content) CONTAINS 'signup' } RETURN n.id AS id"),
     "SELECT id FROM entity e WHERE contains(name, '00001') OR EXISTS (SELECT 1 FROM observation o WHERE o.linked AND o.entity_id = e.id AND contains(lower(o.content), 'signup'))",
 )
 add("p9_not_pattern", cypher("MATCH (e:Entity) WHERE e.type = 'supplier' AND NOT ()-[:DEPENDS_ON]->(e) RETURN e.id AS id"), "SELECT id FROM entity e WHERE type = 'supplier' AND NOT EXISTS (SELECT 1 FROM relation r WHERE r.rel_type = 'DEPENDS_ON' AND r.to_id = e.id)")

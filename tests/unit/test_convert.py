@@ -23,12 +23,19 @@ W = 'xmlns:w="urn:w"'
 A = 'xmlns:a="urn:a" xmlns:p="urn:p" xmlns:r="urn:r"'
 
 
+def el(tag, *inner, **attrs):
+    """An element; prefixes are the first letter, as in ``w_p``."""
+    name = lambda k: k.strip("_").replace("_", ":", 1)
+    said = "".join(f' {name(k)}="{v}"' for k, v in attrs.items())
+    return f"<{name(tag)}{said}>{''.join(inner)}</{name(tag)}>"
+
+
 def docx(body):
     return zipped(**{"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>"})
 
 
 def par(text, props="", run=""):
-    return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:rPr>{run}</w:rPr><w:t>{text}</w:t></w:r></w:p>"
+    return el("w_p", el("w_pPr", props), el("w_r", el("w_rPr", run), el("w_t", text)))
 
 
 def test_table():
@@ -58,8 +65,8 @@ def test_plain_formats():
 
 
 def test_docx():
-    table = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>"
-    body = par("Head", '<w:pStyle w:val="Heading2"/>') + par("bold", "", "<w:b/>") + par("both", "", '<w:b/><w:i/>') + par("off", "", '<w:b w:val="0"/>') + par("item", '<w:numPr><w:ilvl w:val="1"/></w:numPr>') + par(" ") + table
+    table = el("w_tbl", el("w_tr", el("w_tc", par("a"), par("b")), el("w_tc", el("w_p"))))
+    body = par("Head", '<w:pStyle w:val="Heading2"/>') + par("bold", "", "<w:b/>") + par("both", "", '<w:b/><w:i/>') + par("off", "", '<w:b w:val="0"/>') + par("item", el("w_numPr", el("w_ilvl", w_val=1))) + par(" ") + table
     assert convert.convert("a.docx", docx(body)) == "## Head\n\n**bold**\n\n***both***\n\noff\n\n  - item\n| ab  |     |\n| --- | --- |\n\n"
     with pytest.raises(ValueError):
         office.docx(zipped(x="y"))
@@ -76,13 +83,13 @@ def test_xlsx():
 
 
 def slide(title, body, extra=""):
-    shape = lambda kind, paras: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:txBody>{paras}</p:txBody></p:sp>'
-    return f"<p:sld {A}><p:cSld><p:spTree>{shape('body', body)}{shape('title', title)}{extra}</p:spTree></p:cSld></p:sld>"
+    shape = lambda kind, paras: el("p_sp", el("p_nvSpPr", el("p_nvPr", el("p_ph", type=kind))), el("p_txBody", paras))
+    return f"<p:sld {A}>" + el("p_cSld", el("p_spTree", shape("body", body), shape("title", title), extra)) + "</p:sld>"
 
 
 def test_pptx():
-    p = lambda t, props="", run="": f"<a:p>{props}<a:r><a:rPr {run}/><a:t>{t}</a:t></a:r></a:p>"
-    blip = '<p:pic><a:blip r:embed="rId2"/></p:pic>'
+    p = lambda t, props="", run="": el("a_p", props, el("a_r", f"<a:rPr {run}/>", el("a_t", t)))
+    blip = el("p_pic", el("a_blip", r_embed="rId2"))
     files = {
         "ppt/slides/slide10.xml": slide(p("Last"), ""),
         "ppt/slides/slide2.xml": slide(p("First"), p("text", "", 'b="1"') + p("sub", '<a:pPr lvl="2"/>'), blip),

@@ -60,7 +60,7 @@ def test_index_and_tools(spark, tmp_path):
         assert t.index_project() == counts and s.graph().entity.where(f"id = '{manual}'").count() == 0
         assert [(r["to_id"], r["rel_type"]) for r in t.get_file_context("src/a.py")] == [("function:src/a.py:run", "CONTAINS"), ("import:os", "IMPORTS")]
         assert "FooException" in t.search_knowledge("fooexception")
-        call = lambda name, **args: api.handle(t, {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": args}})
+        call = lambda name, **args: api.handle(t, {"method": "tools/call", "params": {"arguments": args, "name": name}, "id": 1})
         text = lambda r: r["result"]["content"][0]["text"]
         assert json.loads(text(call("query_graph", cypher="MATCH (f:function) RETURN f.name ORDER BY f.name"))) == [["helper"], ["run"]]
         assert call("query_graph", cypher="CREATE (n)")["result"]["isError"] and call("search_knowledge")["result"]["isError"]
@@ -73,7 +73,7 @@ def test_index_and_tools(spark, tmp_path):
         t.forget_personal(eid)
         assert me.graph().observation.count() == 0
         out = []
-        api.serve(t, ['{"jsonrpc": "2.0", "id": 5, "method": "tools/list"}\n', "\n", "no json\n"], out.append)
+        api.serve(t, [json.dumps({"method": "tools/list", "id": 5}), "\n", "no json\n"], out.append)
         assert len(json.loads(out[0])["result"]["tools"]) == len(api.TOOLS) + 2 and json.loads(out[1])["error"]["code"] == -32600
         (root / "t.csv").write_text("a,b\n1,2\n")
         assert call("convert_to_markdown", uri=(root / "t.csv").as_uri())["result"]["content"][0]["text"].startswith("| a")
