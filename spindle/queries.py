@@ -354,6 +354,50 @@ add(
     "SELECT page_id, regexp_extract(url, '[^/]*$') AS base, regexp_extract(lower(url), '\\.[^./]*$') AS ext FROM pages", graph=False,
 )
 
+
+
+def on_table(table: str, f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+add(
+    "r6_cosine_to_first", lambda spark, sf_dir: (lambda e: _rounded(e.crossJoin(F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))).select("vec_id", search.cosine(F.col("embedding"), F.col("q")).alias("score")), "vec_id"))(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "SELECT e.vec_id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) "
+    "* sqrt(list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])))), 6) AS score FROM embeddings e, embeddings f WHERE f.vec_id = 0",
+    graph=False,
+)
+add("s1_bag_union", on_graph(lambda g: search.keyword_hits(g, "p1", "urgent", 30).unionByName(search.keyword_hits(g, "p1", "signup", 30)).select("id", "score")), f"SELECT id, score FROM ({keyword_sql(['urgent'], 'p1', 30)}) UNION ALL SELECT id, score FROM ({keyword_sql(['signup'], 'p1', 30)})")
+add("s3_edge_set", on_graph(lambda g: g.relation.select("from_id", "to_id", "rel_type").dropDuplicates()), "SELECT DISTINCT from_id, to_id, rel_type FROM relation")
+add("w1_top_two_by_time", on_graph(lambda g: search.top_observations(g, g.entity.where("project_id = 'p2'"), 2).select("entity_id", F.size("observations").cast("long").alias("n"))), "SELECT entity_id, least(count(*), 2) AS n FROM observation WHERE linked AND entity_id IN (SELECT id FROM entity WHERE project_id = 'p2') GROUP BY entity_id")
+add("r12_preflight_hits", on_graph(lambda g: search.keyword_hits(g, "p1", "high click", 16).select("id", "type", "name")), f"SELECT id, type, name FROM ({keyword_sql(['high', 'click'], 'p1', 16)})")
+add("sc1_words", on_table("benchmark", lambda d: d.select("item_id", F.size(strings.words(F.col("text"))).cast("long").alias("n"))), "SELECT item_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM benchmark", graph=False)
+add("sc3_trim_end", on_table("events", lambda d: d.select("event_id", strings.trim_end(F.concat("event_type", F.lit(" \t\r"))).alias("t"))), "SELECT event_id, event_type AS t FROM events", graph=False)
+add("sc8_unquoted", on_table("part", lambda d: d.select("p_partkey", strings.unquoted(F.concat(F.lit('"'), "p_name", F.lit('"'))).alias("t"))), "SELECT p_partkey, p_name AS t FROM part", graph=False)
+add("sc9_regex_captures", on_table("events", lambda d: d.select("event_id", F.regexp_extract("props", r'"k": ?(\d+)', 1).alias("k"))), "SELECT event_id, regexp_extract(props, '\"k\": ?(\\d+)', 1) AS k FROM events", graph=False)
+add("sc14_day_and_minute", on_table("events", lambda d: d.select("event_id", strings.day(F.col("ts")).alias("day"), strings.minute(F.col("ts")).alias("minute"))), "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d-%H:%M') AS minute FROM events", graph=False)
+add(
+    "sc15_age_in_days", on_table("orders", lambda d: d.select("o_orderkey", F.round((F.unix_micros(F.lit(NOW).cast("timestamp")) - F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / 8.64e10, 6).alias("days"))),
+    f"SELECT o_orderkey, round((epoch_us({_NOW}) - epoch_us(o_orderdate)) / 8.64e10, 6) AS days FROM orders", graph=False,
+)
+add("sc20_escape_pipes", on_table("part", lambda d: d.select("p_partkey", strings.escape_pipes(F.concat_ws("|", "p_name", "p_brand")).alias("t"))), "SELECT p_partkey, concat(p_name, '\\|', p_brand) AS t FROM part", graph=False)
+add("sc22_natural_id", on_table("part", lambda d: d.select("p_partkey", strings.natural_id(F.col("p_name"), F.col("p_brand")).alias("id"))), "SELECT p_partkey, sha256(concat(p_name, chr(0), p_brand)) AS id FROM part", graph=False)
+add("ex28_significant", on_table("documents", lambda d: d.select("doc_id", strings.significant(F.substring_index("text", " ", 1)).alias("good"))), "SELECT doc_id, strlen(split_part(text, ' ', 1)) >= 3 AND NOT regexp_full_match(split_part(text, ' ', 1), '[0-9]+') AS good FROM documents", graph=False)
+_SCOPE = files.Scope("s", include=("https:/**/*", "http:/**/*"), exclude=("**/*top", "http:/**/*"))
+add("src6_scope_predicate", on_table("pages", lambda d: d.select("page_id", F.regexp_replace("url", "//+", "/").alias("p")).select("page_id", _SCOPE.predicate(F.col("p")).alias("inside"))), "SELECT page_id, starts_with(url, 'https:') AND NOT ends_with(url, 'top') AS inside FROM pages", graph=False)
+add(
+    "ex22_make_targets", lambda spark, sf_dir: _extraction(spark, sf_dir, "part", "concat(p_partkey, '/Makefile')", "concat('V := 1\nt', p_partkey, ': dep\n\tcc\nall:\n')").where("type <> 'file'"),
+    "SELECT concat(p_partkey, '/Makefile') AS rel_path, concat('function:', p_partkey, '/Makefile:t', p_partkey) AS id, concat('t', p_partkey) AS name, 'function' AS type FROM part "
+    "UNION ALL SELECT concat(p_partkey, '/Makefile'), concat('type:', p_partkey, '/Makefile:V'), 'V', 'type' FROM part", graph=False,
+)
+add(
+    "ex19_schema_names", lambda spark, sf_dir: _extraction(spark, sf_dir, "part", "concat('s/', p_partkey, '.schema.json')", """concat('{"title": "T', p_partkey, '", "$defs": {"D": {}}}')""").where("type = 'type'").select("rel_path", "name"),
+    "SELECT concat('s/', p_partkey, '.schema.json') AS rel_path, concat('T', p_partkey) AS name FROM part UNION ALL SELECT concat('s/', p_partkey, '.schema.json'), 'D' FROM part", graph=False,
+)
+add(
+    "md1_dispatch", on_table("part", lambda d: d.select("p_partkey", converted(F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ("txt", "xml", "zip"))), (F.col("p_partkey") % 3 + 1).cast("int"))), F.col("p_name").cast("binary")).alias("c")).select("p_partkey", "c.markdown", F.col("c.error").isNotNull().alias("failed"))),
+    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN concat('```xml', chr(10), p_name, chr(10), '```') END AS markdown, p_partkey % 3 = 2 AS failed FROM part", graph=False,
+)
+
 # ---------------------------------------------------------------- streams
 
 
