@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,9 @@ from pyspark.sql import types as T
 #: The characters that separate words: U+0020 and U+0009 to U+000D, no others.
 SPACES = " \t\n\r\x0b\x0c"
 
-_written: dict[str, list[str]] = {}
-_pinned: dict[str, list[str]] = {}
+#: Tables written and not yet deleted, by application and owner, and the owner of those that are written now.
+_written: dict[tuple[str, str], list[str]] = {}
+_owner = [""]
 
 
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
@@ -27,7 +30,19 @@ def row_type(spec: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.ArrayType(_TYPES[kind[:-2]]) if kind.endswith("[]") else _TYPES[kind]) for name, kind in fields])
 
 
+#: Rows that a Python worker gets at once: texts can be long, and a batch of many is held several times over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS``, unless they are that small already."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,15 +55,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str, pinned: bool = False) -> DataFrame:
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables that are written within belong to ``owner``, who may release them."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def current_owner() -> str:
+    return _owner[-1]
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives the loss of executors.
 
-    Tables live until :func:`release`, ``pinned`` ones until the end of the process.
+    Tables live until their owner's :func:`release` or the end of the process.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/spindle-{app}/{label}-{uuid.uuid4().hex}"
-    (_pinned if pinned else _written).setdefault(app, []).append(path)
+    _written.setdefault((app, current_owner()), []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,9 +87,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`materialise` wrote in this application; only when no plan reads them any more."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def release(spark: SparkSession, owner: str = "") -> None:
+    """Delete the tables of an owner (by default of all that ran without one); only when no plan reads them any more."""
+    for path in _written.pop((spark.sparkContext.applicationId, owner), []):
         _delete(spark, path)
 
 
@@ -69,9 +98,8 @@ def _release_at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
         try:
-            for path in _pinned.pop(spark.sparkContext.applicationId, []):
-                _delete(spark, path)
-            release(spark)
+            for _, owner in list(_written):
+                release(spark, owner)
         except Exception:  # the JVM may be gone already at exit; the folder is then the cluster's to clear
             pass
 
