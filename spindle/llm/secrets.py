@@ -35,13 +35,16 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SENSITIVE = re.compile(
-    r"password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|bearer|credential|authorization|signature|pwd",
+    r"password|passwd|passphrase|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|client[\x20_-]?key|bearer|credential|authorization|signature|pwd",
     re.IGNORECASE | re.ASCII,
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_LENGTH)
+#: What stands between two lines of one block, and what a last line shorter than a candidate must stand before.
+_FOLD = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
+_TAIL = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/=]{1,%d})(?=[\x20\t]*\r?\n[\x20\t]*-----END)" % (MIN_LENGTH - 1))
 #: Every text with a match of any kind matches this in the vectorised engine; the exact patterns then run on those only.
 _ANY = (
-    r"(?i:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|bearer|credential|authorization|signature|pwd)"
+    r"(?i:password|passwd|passphrase|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|client[\x20_-]?key|bearer|credential|authorization|signature|pwd)"
     r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 )
 _IDENTIFIERS = """
@@ -85,30 +88,64 @@ def novelty(candidate: str, before: str = "", after: str = "") -> float:
     return (len(c.compress(around + own)) - len(c.compress(around))) / max(1, len(own))
 
 
+def _blocks(text: str, sensitive: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Candidates, those on adjoining lines together. After a sensitive name and ``=``, only the value is the candidate."""
+    out: list = []
+    k = 0
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        while k < len(sensitive) and sensitive[k][1] <= start:
+            k += 1
+        if k < len(sensitive) and sensitive[k][1] < end:
+            at = text.find("=", sensitive[k][1], end)
+            while 0 <= at + 1 < end and at >= 0 and text[at] == "=":
+                at += 1
+            if at >= 0:
+                start = at
+            if end - start < MIN_LENGTH:
+                continue
+        if out and start == m.start() and _FOLD.fullmatch(text, out[-1][-1][1], start):
+            out[-1].append((start, end))
+        else:
+            out.append([(start, end)])
+    return out
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float | None]]:
-    """All spans of a text as (kind, start, end, novelty), by start and then kind in the order of ``KINDS``; null has none."""
+    """All spans of a text as (kind, start, end, novelty), by start and then kind in the order of ``KINDS``; null has none.
+
+    A block of candidates on adjoining lines is in context if its first line in context is, from there on; its lines are
+    measured against what surrounds the block, and the mean over them decides.
+    """
     if not text:
         return []
     spans: list = [("assign", m.start(), m.end(), None) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     spans += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
     taken = sorted((s[1], s[2]) for s in spans)
-    sensitive = [m.end() for m in _SENSITIVE.finditer(text)]
+    sensitive = [m.span() for m in _SENSITIVE.finditer(text)]
     if sensitive:
+        ends = [e for _, e in sensitive]
         k = at = 0
-        for m in _CANDIDATE.finditer(text):
-            start, end = m.span()
-            while k < len(sensitive) and sensitive[k] < start - CONTEXT:
-                k += 1
-            if k == len(sensitive):
-                break
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            overlaps = any(s < end and e > start for s, e in taken[max(0, at - 2) : at + 3])
-            if sensitive[k] <= start and not overlaps:
-                gain = novelty(m[0], text[max(0, start - AROUND) : start], text[end : end + AROUND])
-                if gain >= MIN_NOVELTY:
-                    spans.append(("novel", start, end, gain))
+        for block in _blocks(text, sensitive):
+            free, context = [], False
+            for start, end in block:
+                while k < len(ends) and ends[k] < start - CONTEXT:
+                    k += 1
+                context = context or k < len(ends) and ends[k] <= start
+                while at < len(taken) and taken[at][1] <= start:
+                    at += 1
+                if context and not any(s < end and e > start for s, e in taken[max(0, at - 2) : at + 3]):
+                    free.append((start, end))
+            if not free:
+                continue
+            first, last = block[0][0], block[-1][1]
+            before, after = text[max(0, first - AROUND) : first], text[last : last + AROUND]
+            gains = [novelty(text[s:e], before, after) for s, e in free]
+            if sum(g * (e - s) for g, (s, e) in zip(gains, free)) >= MIN_NOVELTY * sum(e - s for s, e in free):
+                spans += [("novel", s, e, g) for g, (s, e) in zip(gains, free)]
+                if free[-1][1] == last and (tail := _TAIL.match(text, last)):
+                    spans.append(("novel", *tail.span(1), novelty(tail[1], before, after)))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
