@@ -75,3 +75,19 @@ def test_long_repeat_that_covers_little_fails_by_length(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     row = rep.digest(df).first()
     assert not row["base_failed"] and row["longest_repeat"] == 500 and not row["kept"]
+
+
+def test_each_limit_rejects_texts_of_ordinary_length_that_pass_the_base_rule(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    once = [word() for _ in range(910)]
+    covered = [word() for _ in range(1000)]
+    for k in range(4):  # four passages of 16 words, twice each: 128 of about 1,060 words, none long
+        covered[200 * k + 100 : 200 * k + 100] = covered[200 * k : 200 * k + 16]
+    long = [word() for _ in range(2750)]
+    rows = [(1, " ".join(once + once[:90])), (2, " ".join(covered)), (3, " ".join(long + long[:250])), (4, " ".join(long + long[:60])), (5, " ".join(once + once[:12]))]
+    got = {r["doc_id"]: r for r in rep.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i: r["kept"] for i, r in got.items()} == {1: False, 2: False, 3: False, 4: False, 5: True}
+    assert got[2]["longest_repeat"] <= rep.MAX_LONGEST < got[4]["longest_repeat"]
+    assert got[4]["n_covered_words"] <= rep.MAX_COVERED * got[4]["n_words"] and got[2]["n_covered_words"] > rep.MAX_COVERED * got[2]["n_words"]
