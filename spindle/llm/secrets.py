@@ -2,13 +2,15 @@
 
 Three base patterns are reported wherever they match. The method adds strings in a sensitive context (a word such as
 ``secret`` or ``bearer`` shortly before them) whose marginal compressed size, against the surrounding text and a
-dictionary of common identifiers, shows that they can't be predicted: random keys cost about a byte a character, names
-made of known parts far less.
+dictionary of common identifiers, shows that they can't be predicted: they cost about as many bytes as random strings
+of their own alphabet and shape do in the same place, names made of known parts far less.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,8 +23,12 @@ from pyspark.sql.types import ArrayType, StringType
 from .common import row_type
 
 KINDS = ("assign", "access", "hex", "novel")
-#: Bytes that a character of a candidate must add to the compressed context, for it to be reported.
-MIN_NOVELTY = 0.8
+#: Least marginal size of a candidate, as a share of that of random strings of its alphabet and shape; and of one that
+#: consists of words, whose letters may come from any language.
+MIN_NOVELTY = 0.82
+MIN_NOVELTY_OF_WORDS = 1.0
+#: So many random strings are measured.
+STRANGERS = 6
 MIN_LENGTH = 16
 #: Characters before a candidate in which a sensitive word must stand, and on either side of it that prime the compressor.
 CONTEXT = 48
@@ -39,6 +45,9 @@ _SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_LENGTH)
+#: Letters in words of one case or capitalised, with numbers between; and dates, times, versions and other grouped numbers.
+_WORDS = re.compile(r"(?:(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[a-z]{1,2}|[0-9]{1,4})(?:[_=./+-]+|(?=[A-Z])|\Z))+")
+_NUMBERS = re.compile(r"[vV]?[0-9]{1,4}(?:[-_./][0-9]{1,4}){2,}(?:[T_.-][0-9._-]*)?Z?|[0-9]{8}[T_.-]?[0-9]{4,9}Z?|[0-9]+(?:\.[0-9]+)?")
 #: What stands between two lines of one block, and what a last line shorter than a candidate must stand before.
 _FOLD = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
 _TAIL = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/=]{1,%d})(?=[\x20\t]*\r?\n[\x20\t]*-----END)" % (MIN_LENGTH - 1))
@@ -80,12 +89,44 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+@lru_cache(4096)
+def _strangers(shape: str) -> list[bytes]:
+    """Random strings of a shape: ``d`` digits, ``h`` and ``H`` hexadecimal ones, ``l`` and ``u`` letters, ``m`` and ``n`` any of them; the rest stays."""
+    sets = {"d": "0123456789", "h": "0123456789abcdef", "H": "0123456789ABCDEF", "l": string.ascii_lowercase, "u": string.ascii_uppercase}
+    sets |= {"L": sets["l"] + sets["d"], "U": sets["u"] + sets["d"], "m": sets["l"] + sets["u"], "n": sets["l"] + sets["u"] + sets["d"]}
+    r = random.Random(shape)
+    return ["".join(r.choice(sets[c]) if c in sets else c for c in shape).encode() for _ in range(STRANGERS)]
+
+
+def _shape(candidate: str) -> str:
+    """A candidate with each letter and digit replaced by the name of the alphabet that they are all from."""
+    seen = set(candidate)
+    digit, lower, upper = (bool(seen & set(x)) for x in (string.digits, string.ascii_lowercase, string.ascii_uppercase))
+    if lower and upper:
+        name = "n" if digit else "m"
+    elif lower or upper:
+        hexadecimal = digit and not {c for c in seen if c.isalpha()} - set("abcdefABCDEF")
+        name = ("h" if lower else "H") if hexadecimal else ("L" if lower else "U") if digit else ("l" if lower else "u")
+    else:
+        name = "d"
+    return "".join(name if c.isalnum() else c for c in candidate)
+
+
 def novelty(candidate: str, before: str = "", after: str = "") -> float:
-    """Marginal compressed bytes of ``candidate`` per byte, against its surroundings and the dictionary."""
+    """Marginal compressed bytes of ``candidate``, against its surroundings and the dictionary, over those of random strings of its shape."""
     around = (before + "\n" + after + "\n").encode()
-    own = candidate.encode()
-    c = _compressor()
-    return (len(c.compress(around + own)) - len(c.compress(around))) / max(1, len(own))
+    size = lambda own: len(_compressor().compress(around + own))
+    alone = size(b"")
+    usual = sum(map(size, _strangers(_shape(candidate)))) / STRANGERS - alone
+    return (size(candidate.encode()) - alone) / max(1.0, usual)
+
+
+def is_novel(candidates: list[str], gains: list[float]) -> bool:
+    """Whether a block of candidates can't be predicted, by the mean over its characters; grouped numbers never are."""
+    total = sum(map(len, candidates))
+    whole = "".join(candidates)
+    least = MIN_NOVELTY_OF_WORDS if _WORDS.fullmatch(whole) else MIN_NOVELTY
+    return not _NUMBERS.fullmatch(whole) and sum(g * len(c) for g, c in zip(gains, candidates)) >= least * total
 
 
 def _blocks(text: str, sensitive: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -94,6 +135,9 @@ def _blocks(text: str, sensitive: list[tuple[int, int]]) -> list[list[tuple[int,
     k = 0
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
+        end -= len(m[0]) - len(m[0].rstrip("."))
+        if end - start < MIN_LENGTH:
+            continue
         while k < len(sensitive) and sensitive[k][1] <= start:
             k += 1
         if k < len(sensitive) and sensitive[k][1] < end:
@@ -142,7 +186,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float | None]]:
             first, last = block[0][0], block[-1][1]
             before, after = text[max(0, first - AROUND) : first], text[last : last + AROUND]
             gains = [novelty(text[s:e], before, after) for s, e in free]
-            if sum(g * (e - s) for g, (s, e) in zip(gains, free)) >= MIN_NOVELTY * sum(e - s for s, e in free):
+            if is_novel([text[s:e] for s, e in free], gains):
                 spans += [("novel", s, e, g) for g, (s, e) in zip(gains, free)]
                 if free[-1][1] == last and (tail := _TAIL.match(text, last)):
                     spans.append(("novel", *tail.span(1), novelty(tail[1], before, after)))

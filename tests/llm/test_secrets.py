@@ -33,6 +33,46 @@ def test_novelty_tells_random_keys_from_names():
     assert secrets.novelty("application_configuration_manager", "authorization: ") < secrets.MIN_NOVELTY
 
 
+def prose(r, n):
+    """Words of no language, of common syllables."""
+    word = lambda: "".join(r.choice("tnrsldm") + r.choice("aeiou") + r.choice(["", "n", "r", "s"]) for _ in range(r.randint(1, 3)))
+    return " ".join(word() for _ in range(n))
+
+
+def rate(make, n=200, seed=1):
+    """Share of ``n`` strings that are found in the middle of prose, behind a sensitive word."""
+    r = random.Random(seed)
+    found = 0
+    for _ in range(n):
+        one = make(r)
+        before = prose(r, 45) + r.choice([" Authorization: Bearer ", " the access key is ", ' credential "'])
+        found += any(s[0] != "assign" and s[1] == len(before) and s[2] == len(before) + len(one) for s in secrets.find_spans(f'{before}{one}" {prose(r, 45)}'))
+    return found / n
+
+
+HEX, LOWER, UPPER, DIGITS = "0123456789abcdef", string.ascii_lowercase, string.ascii_uppercase, string.digits
+KEYS = {
+    "uuid": lambda r: "-".join("".join(r.choices(HEX, k=k)) for k in (8, 4, 4, 4, 12)), "hex": lambda r: "".join(r.choices(HEX, k=20)),
+    "upper hex": lambda r: "".join(r.choices(HEX.upper(), k=32)), "letters and digits": lambda r: "".join(r.choices(LOWER + DIGITS, k=24)),
+    "base32": lambda r: "".join(r.choices(UPPER + "234567", k=32)), "base64 of 20": lambda r: "".join(r.choices(LOWER + UPPER + DIGITS + "+/", k=20)),
+    "base64 of 40": lambda r: "".join(r.choices(LOWER + UPPER + DIGITS + "+/", k=40)),
+}
+NAMES = {
+    "snake": lambda r: "_".join(r.choices(secrets._IDENTIFIERS[:250], k=4)), "camel": lambda r: "".join(w.capitalize() for w in r.choices(secrets._IDENTIFIERS[:250], k=5)),
+    "constant": lambda r: "_".join(r.choices(secrets._IDENTIFIERS[:250], k=4)).upper(), "numbered": lambda r: "-".join(r.choices(secrets._IDENTIFIERS[:250], k=4)) + f"-{r.randrange(100)}",
+    "unknown words": lambda r: "_".join(prose(r, 6).split()), "timestamp": lambda r: f"20{r.randrange(10, 30)}-{r.randrange(10, 13)}-{r.randrange(10, 29)}T{r.randrange(10, 24)}.{r.randrange(10, 60)}.{r.randrange(10, 60)}.{r.randrange(100, 999)}",
+    "version": lambda r: ".".join(str(r.randrange(100, 2000)) for _ in range(5)), "address": lambda r: "https//www." + ".".join(prose(r, 2).split()) + ".com/index.html",
+}
+
+
+def test_random_keys_of_any_alphabet_are_found_in_prose():
+    assert {k: x for k, f in KEYS.items() if (x := rate(f)) < 0.9} == {}
+
+
+def test_names_numbers_and_times_are_not():
+    assert {k: x for k, f in NAMES.items() if (x := rate(f)) > 0.01} == {}
+
+
 def test_method_adds_spans_only_in_sensitive_context_and_beside_base_ones():
     key = "q7Zk1xP9vR3mT8wY2sL5uB4n"
     found = secrets.find_spans(f"Authorization: Bearer {key} end")
