@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -44,6 +45,72 @@ def test_toxicity_on_the_held_out_fold(spark, toxic_corpus):
     assert [r["predicted"] for r in out if r["doc_id"] == 5001] == [1] and [r["predicted"] for r in out if r["doc_id"] == 5000] == [0, 0]
 
 
+def made_votes(seed=3, n=4000):
+    """Votes of voters of known accuracy, three of which repeat one another, and the truth."""
+    r = np.random.default_rng(seed)
+    y = (r.random(n) < 0.2).astype(float)
+    cols = []
+    for accuracy, heard in ((0.95, 0.3), (0.8, 0.3), (0.9, 0.2)):
+        says = r.random(n) < np.where(y == 1, heard, heard * 0.25 * (1 - accuracy) / accuracy)
+        cols.append(says)
+    noisy = cols[1]
+    cols += [noisy & (r.random(n) < 0.95), noisy & (r.random(n) < 0.95)]
+    clean = r.random(n) < np.where(y == 0, 0.4, 0.02)
+    return np.stack([*cols, clean], axis=1).astype(float), y
+
+
+def test_label_model_learns_accuracies_without_the_labels_of_documents():
+    votes, y = made_votes()
+    r = np.random.default_rng(8)
+    wrong = np.where(r.random(len(y)) < 0.1, 1 - y, y)  # a tenth of the labels is wrong
+    m = toxicity.LabelModel(votes, wrong)
+    assert m.toxic_voter.tolist() == [True] * 5 + [False]
+    truly = np.where(m.toxic_voter, y @ votes, (1 - y) @ votes) / votes.sum(axis=0)
+    assert np.abs(m.accuracy - truly).max() < 0.16
+    assert m.correlation[1, 3] > 0.5 > m.correlation[0, 2]
+    p = m.posterior(votes)
+    heard = votes.sum(axis=1) > 0
+    assert ((p >= 0.5) == y)[heard].mean() > ((wrong == y)[heard]).mean() + 0.02  # better than the labels that oriented it
+    silent = p[~heard]
+    assert np.ptp(silent) < 1e-12 and abs(silent[0] - 1 / (1 + np.exp(-m.prior))) < 1e-9
+
+
+def test_posteriors_against_the_plain_formula():
+    votes, y = made_votes(5, 300)
+    m = toxicity.LabelModel(votes, y)
+    for row, p in zip(votes, m.posterior(votes)):
+        z = m.prior
+        for j in np.flatnonzero(row):
+            repeated = sum(m.correlation[i, j] for i in np.flatnonzero(row) if m.correlation[i, j] > 0.1)
+            z += m.evidence[j] / max(1, repeated)
+        assert abs(p - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_scores_against_the_plain_sum(spark, toxic_corpus):
+    rows, labels = toxic_corpus
+    df, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, lab)
+    got = {r["doc_id"]: r["score"] for r in toxicity.digest(df, lab).collect()}
+    for i, text, *_ in rows:
+        z = model.intercept + sum(w for t, w in model.weights.items() if t in toxicity.terms(text))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_repeated_ids_teach_once(spark, toxic_corpus):
+    rows, labels = toxic_corpus
+    df = spark.createDataFrame([*rows[:200], *[(1, f"other {k}", None, None, None) for k in range(50)]], SCHEMA)
+    lab = spark.createDataFrame([*labels[:100], (1, 1, 0), (2, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    found = toxicity.gathered(df, lab, most=60).collect()
+    ids = [r["row"] for r in found]
+    assert len(ids) == len(set(ids)) <= 60 and 2 not in {r["row"] for r in toxicity.gathered(df, lab).collect()}
+
+
+def test_terms():
+    got = toxicity.terms("Abcde abcdx ABCDE! £x | a |")
+    assert {b"abcde", b"abcdx", b"abcd*", b"abcd**", "£x".encode(), b"@table"} <= got and b"abcde*" not in got
+    assert toxicity.terms(None) == toxicity.terms("") == set()
+
+
 def test_held_out_labels_teach_nothing(spark, toxic_corpus):
     rows, labels = toxic_corpus
     df = spark.createDataFrame(rows, SCHEMA)
