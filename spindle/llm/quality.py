@@ -1,13 +1,14 @@
 """Operator 5: a quality classifier by co-training.
 
-Two classifiers see each document by different views: one the content of its text, one its page metadata (source,
-language, sizes and layout). Over some rounds each labels the unlabelled documents that it is most sure of for the
-other. Both are then calibrated and combined, and score every document.
+Two classifiers see each document by different views: one the content of its text, one its page metadata (the columns
+source, language and n_chars; nothing read from the text). Over some rounds each labels the unlabelled documents that it
+is most sure of for the other. Each is then calibrated by itself on labelled documents held back, and the calibrated
+views are combined and score every document.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,15 @@ _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48,
 _FLAG = {k: np.isin(np.arange(256), list(v)) for k, v in _CLASSES.items()}
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _LATER = (np.arange(256) & 0xC0) == 0x80
-CONTENT = [*_CLASSES, "wide", "word_length", "same_as_last", "distinct", "pairs_again", "capitals", "log_words", "few_words"]
-SOURCES, LANGS = 32, 8
-METADATA = ["log_chars", "lines", "line_length", "empty", *(f"lang{i}" for i in range(LANGS)), *(f"source{i}" for i in range(SOURCES))]
+CONTENT = [*_CLASSES, "wide", "word_length", "same_as_last", "distinct", "pairs_again", "capitals", "few_words", "line_length"]
+#: A source or language has a column of its own if so many documents of the fit have it; the others share one.
+SEEN = 20
 
 
-def content_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The content view of each whole text, and its layout (code points, lines) for the other view."""
+def content_features(texts: pa.Array) -> np.ndarray:
+    """The content view of each whole text."""
     data, offsets = utf8(texts)
-    parts, layout = [np.zeros((0, len(CONTENT)))], [np.zeros((0, 2))]
+    parts = [np.zeros((0, len(CONTENT)))]
     for i, j in groups(offsets, 400_000):
         own, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         k = j - i
@@ -77,24 +78,28 @@ def content_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             again = np.append(False, pair[order][1:] == pair[order][:-1]) if len(pair) else np.zeros(0, bool)
             x[:, at + 4] = np.bincount(pdoc[order][again], minlength=k) / np.maximum(1, words)
             x[:, at + 5] = total(first & _FLAG["upper"][own]) / np.maximum(1, words)
-        x[:, at + 6] = np.log1p(words) / 10
-        x[:, at + 7] = words < 10
+        x[:, at + 6] = words < 10
+        x[:, at + 7] = np.log1p(points / (total(own == 10) + 1)) / 10
         parts.append(x)
-        layout.append(np.stack([points, total(own == 10) + 1], axis=1))
-    return np.vstack(parts), np.vstack(layout)
+    return np.vstack(parts)
 
 
-def metadata_features(layout: np.ndarray, lang: list[str | None], source: list[str | None]) -> np.ndarray:
-    x = np.zeros((len(layout), len(METADATA)))
-    points, lines = layout[:, 0], layout[:, 1]
-    x[:, 0] = np.log1p(points) / 10
-    x[:, 1] = np.log1p(lines) / 5
-    x[:, 2] = np.log1p(points / lines) / 10
-    x[:, 3] = points == 0
-    for i, (a, b) in enumerate(zip(lang, source)):
-        x[i, 4 + zlib.crc32((a or "").encode()) % LANGS] = 1
-        x[i, 4 + LANGS + zlib.crc32((b or "").encode()) % SOURCES] = 1
-    return x
+class Metadata:
+    """The metadata view: the size that n_chars gives, and which of the known sources and languages a document has."""
+
+    def __init__(self, lang: list[str | None], source: list[str | None]) -> None:
+        known = lambda values: {v: i for i, v in enumerate(sorted((v for v, k in Counter(values).items() if k >= SEEN), key=lambda v: (v is None, v or "")))}
+        self.lang, self.source = known(lang), known(source)
+
+    def features(self, lang: list[str | None], source: list[str | None], n_chars: list[int | None]) -> np.ndarray:
+        langs = len(self.lang)
+        x = np.zeros((len(lang), 3 + langs + 1 + len(self.source) + 1))
+        for i, (a, b, n) in enumerate(zip(lang, source, n_chars)):
+            x[i, 0] = np.log1p(max(n or 0, 0)) / 10
+            x[i, 1], x[i, 2] = n is None, n == 0
+            x[i, 3 + self.lang.get(a, langs)] = 1
+            x[i, 4 + langs + self.source.get(b, len(self.source))] = 1
+        return x
 
 
 def bent(x: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -116,76 +121,90 @@ class View:
 
 
 class Model:
-    """Both views and the weights that combine their calibrated logits."""
+    """Both views, a calibration (slope, intercept) of each, and the weights that combine the calibrated logits."""
+
+    def __init__(self, views: list[View], calibration: list[np.ndarray], mix: np.ndarray, metadata: Metadata | None = None) -> None:
+        self.views, self.calibration, self.mix, self.metadata = views, calibration, mix, metadata
 
-    def __init__(self, views: list[View], mix: np.ndarray) -> None:
-        self.views, self.mix = views, mix
+    def calibrated(self, xs: list[np.ndarray]) -> np.ndarray:
+        """Logits of P(good) by each view alone."""
+        return np.stack([np.clip(v.logit(x), -20, 20) * c[0] + c[1] for v, x, c in zip(self.views, xs, self.calibration)], axis=1)
 
     def score(self, xs: list[np.ndarray]) -> np.ndarray:
-        z = np.stack([np.clip(v.logit(x), -20, 20) for v, x in zip(self.views, xs)], axis=1)
-        return sigmoid(z @ self.mix[:-1] + self.mix[-1])
+        return sigmoid(self.calibrated(xs) @ self.mix[:-1] + self.mix[-1])
 
 
 def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> Model:
-    """Exchange confident pseudo-labels between the views, then calibrate and combine them on labelled rows held back."""
-    back = np.arange(len(y)) % 4 == 3 if len(y) >= 40 and len(set(y[3::4])) == 2 and len(set(y[np.arange(len(y)) % 4 != 3])) == 2 else np.zeros(len(y), bool)
+    """Exchange confident pseudo-labels between the views; of the labelled rows held back, half calibrate each view, half combine them."""
+    of = np.arange(len(y)) % 8
+    parts = [of == 3, of == 7]
+    if not all(len(set(y[p].tolist())) == 2 and p.sum() >= 10 for p in parts) or len(set(y[of % 4 != 3].tolist())) < 2:
+        parts = [np.ones(len(y), bool)] * 2  # too few rows to hold any back
+        fit_on = parts[0]
+    else:
+        fit_on = of % 4 != 3
     views = [View(np.vstack([a, b])) for a, b in zip(labelled, pool)]
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels for each view, from the other
     for step in range(rounds + 1):
         for v, view in enumerate(views):
             rows = np.array(sorted(given[v]), int)
-            x = np.vstack([labelled[v][~back], pool[v][rows]])
-            t = np.concatenate([y[~back], [given[v][r] for r in rows.tolist()]])
-            view.fit(x, t, np.concatenate([np.ones(int((~back).sum())), np.full(len(rows), 0.3)]))
+            x = np.vstack([labelled[v][fit_on], pool[v][rows]])
+            t = np.concatenate([y[fit_on], [given[v][r] for r in rows.tolist()]])
+            view.fit(x, t, np.concatenate([np.ones(int(fit_on.sum())), np.full(len(rows), 0.3)]))
         if step < rounds and len(pool[0]):
             for v, view in enumerate(views):
                 p = sigmoid(view.logit(pool[v]))
                 sure = np.argsort(-np.abs(p - 0.5), kind="stable")[: int(SHARE * len(p))]
                 for r in sure[np.maximum(p[sure], 1 - p[sure]) >= SURE].tolist():
                     given[1 - v][r] = float(p[r] >= 0.5)
-    on = back if back.any() else np.ones(len(y), bool)
-    z = np.stack([np.clip(v.logit(x[on]), -20, 20) for v, x in zip(views, labelled)], axis=1)
-    return Model(views, logistic(z, y[on], 0.1))
+    calibration = [logistic(np.clip(v.logit(x[parts[0]]), -20, 20)[:, None], y[parts[0]], 0.1) for v, x in zip(views, labelled)]
+    model = Model(views, calibration, np.zeros(3))
+    model.mix = logistic(model.calibrated([x[parts[1]] for x in labelled]), y[parts[1]], 0.1)
+    return model
 
 
-def _named(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in columns])
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def content_of(texts: pa.Array) -> pa.Array:
+    x = content_features(texts)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
-@F.arrow_udf(_named(["content", "metadata"]))
-def views_of(texts: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
-    content, layout = content_features(texts)
-    metadata = metadata_features(layout, lang.to_pylist(), source.to_pylist())
-    pack = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-    return pa.StructArray.from_arrays([pack(content), pack(metadata)], ["content", "metadata"])
+_COLUMNS = {"lang": "string", "source": "string", "n_chars": "long"}
 
 
 def _inputs(docs: DataFrame, text: str):
-    """The columns that the views read; a table without lang or source has none of either."""
+    """The columns that the views read; a table without one of them has none of its values."""
     own = set(docs.columns)
-    return [F.col(text), *(F.col(c).cast("string") if c in own else F.lit(None).cast("string") for c in ("lang", "source"))]
+    return [F.col(text), *(F.col(c).cast(kind) if c in own else F.lit(None).cast(kind) for c, kind in _COLUMNS.items())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | float:
-    """Fit on at most ``MAX_LABELLED`` labelled and ``MAX_POOL`` other documents; their features, not texts, reach the driver.
+    """Fit on at most ``MAX_LABELLED`` labelled and ``MAX_POOL`` unlabelled documents; their features, not texts, reach the driver.
 
-    Rows with a null label or doc_id teach nothing. Where fewer than two classes are labelled the share of good rows is
-    returned instead of a model (0.5 without labels).
+    The unlabelled ones are of doc_ids that no row of ``labels`` has. Rows with a null label or doc_id teach nothing.
+    Where fewer than two classes are labelled the share of good rows is returned instead of a model (0.5 without labels).
     """
     taught = labels.select(F.col("doc_id").cast("long").alias("row"), F.col("quality").cast("int").alias("quality")).where(F.col("row").isNotNull() & F.col("quality").isin(0, 1))
-    taught = sample(taught, "row", MAX_LABELLED, 5)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("_row"), *(c.alias(n) for c, n in zip(_inputs(docs, text), ("_text", "_lang", "_source"))))
-    inputs = [F.col(c) for c in ("_text", "_lang", "_source")]
-    known = keyed.join(F.broadcast(taught), F.col("_row") == F.col("row"))  # at most MAX_LABELLED rows of two numbers
-    got = known.select("_row", "quality", views_of(*inputs).alias("v")).orderBy("_row").limit(MAX_LABELLED).toArrow()
+    few = sample(taught, "row", MAX_LABELLED, 5)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_row"), *(c.alias(f"_{n}") for c, n in zip(_inputs(docs, text), ("text", *_COLUMNS))))
+    seen = [content_of("_text").alias("content"), *(F.col(f"_{c}") for c in _COLUMNS)]
+    known = keyed.join(F.broadcast(few), F.col("_row") == F.col("row"))  # at most MAX_LABELLED rows of two numbers
+    got = known.select("_row", "quality", *seen).orderBy("_row", "quality", "content").limit(MAX_LABELLED).toArrow()
     y = got["quality"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    pool_rows = keyed.select(F.xxhash64(F.lit(11), "_row").alias("_h"), "_row").orderBy("_h", "_row").limit(MAX_POOL).distinct()
-    pool = keyed.join(F.broadcast(pool_rows.select(F.col("_row").alias("_p"))), F.col("_row") == F.col("_p"))
-    other = pool.select("_row", views_of(*inputs).alias("v")).orderBy("_row").limit(MAX_POOL).toArrow()
-    unpack = lambda t, c: np.array([r[c] for r in t["v"].to_pylist()], float).reshape(t.num_rows, -1)
-    return co_train([unpack(got, "content"), unpack(got, "metadata")], y, [unpack(other, "content"), unpack(other, "metadata")])
+    own = labels.select(F.col("doc_id").cast("long").alias("_row")).where(F.col("_row").isNotNull())
+    others = keyed.select("_row").where(F.col("_row").isNotNull()).join(own, "_row", "left_anti").distinct()
+    others = others.orderBy(F.xxhash64(F.lit(11), "_row"), "_row").limit(MAX_POOL)
+    pool = keyed.join(F.broadcast(others.select(F.col("_row").alias("_p"))), F.col("_row") == F.col("_p"))
+    other = pool.select("_row", *seen).orderBy("_row", "content").limit(MAX_POOL).toArrow()
+    unpack = lambda t: np.array(t["content"].to_pylist(), float).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, len(CONTENT)))
+    column = lambda t, c: t[f"_{c}"].to_pylist()
+    metadata = Metadata(column(got, "lang") + column(other, "lang"), column(got, "source") + column(other, "source"))
+    views = [[unpack(t), metadata.features(*(column(t, c) for c in _COLUMNS))] for t in (got, other)]
+    model = co_train(views[0], y, views[1])
+    model.metadata = metadata
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", into: str = "quality_score") -> DataFrame:
@@ -199,11 +218,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", into:
 
 def _scorer(model: Model | float):
     @F.arrow_udf(T.DoubleType())
-    def run(texts: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         if isinstance(model, float):
             return pa.array(np.full(len(texts), model))
-        content, layout = content_features(texts)
-        return pa.array(model.score([content, metadata_features(layout, lang.to_pylist(), source.to_pylist())]))
+        return pa.array(model.score([content_features(texts), model.metadata.features(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist())]))
 
     return run
 

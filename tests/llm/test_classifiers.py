@@ -169,9 +169,65 @@ def test_quality_without_labels_or_rows(spark, quality_corpus):
     assert quality.digest(bare, none).count() == 5
 
 
+def test_scores_against_the_plain_formula(spark, quality_corpus):
+    rows, labels = quality_corpus
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(df, lab)
+    got = {r["doc_id"]: r["score"] for r in quality.digest(df, lab).collect()}
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for i, text, lang, source, n in rows[:60]:
+        xs = [quality.content_features(pa.array([text]))[0], model.metadata.features([lang], [source], [n])[0]]
+        total = model.mix[-1]
+        for view, x, (slope, offset), weight in zip(model.views, xs, model.calibration, model.mix):
+            z = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(x, view.middle, view.scale)]
+            z = [*z, *(min(v * v, 20.0) for v in z)]
+            logit = sum(a * b for a, b in zip(z, view.w)) + view.w[-1]
+            total += weight * (slope * min(20.0, max(-20.0, logit)) + offset)
+        assert abs(got[i] - sig(total)) < 1e-9
+
+
+def test_views_help_each_other_and_each_is_calibrated():
+    """Two noisy views of one truth, few labels: co-training beats the content view alone, and shares come out as scored."""
+    r = np.random.default_rng(4)
+    make = lambda n: (lambda y: (y, [np.stack([y + r.normal(0, 0.55, n), r.normal(0, 1, n)], 1), np.stack([y + r.normal(0, 0.45, n), r.normal(0, 1, n)], 1)]))((r.random(n) < 0.5).astype(float))
+    (y, few), (_, pool), (truth, test) = make(120), make(3000), make(4000)
+    both, none = quality.co_train(few, y, pool), quality.co_train(few, y, [x[:0] for x in pool])
+    right = lambda m: ((m.score(test) >= 0.5) == truth).mean()
+    alone = [((both.calibrated(test)[:, v] >= 0) == truth).mean() for v in (0, 1)]
+    assert right(both) >= max(alone) + 0.02 and right(both) >= right(none) - 0.01
+    for v in (0, 1):
+        p = 1 / (1 + np.exp(-both.calibrated(test)[:, v]))
+        for lo in (0.0, 0.5):
+            some = (p >= lo) & (p < lo + 0.5)
+            assert abs(p[some].mean() - truth[some].mean()) < 0.15
+
+
+def test_pool_has_no_labelled_document_and_rows_may_repeat(spark, quality_corpus, monkeypatch):
+    rows, labels = quality_corpus
+    seen = []
+    real = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda known, y, pool, *a: seen.append((len(y), len(pool[0]))) or real(known, y, pool, *a))
+    df = spark.createDataFrame([(*r, 1.0, "x") for r in [*rows, rows[3], rows[3]]], DOCS + ", score double, row string").withColumnRenamed("row", "_row")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality.digest(df, lab)
+    assert out.count() == len(rows) + 2 and out.columns == ["doc_id", "score", "kept"]
+    assert len({r["score"] for r in out.where("doc_id = 3").collect()}) == 1
+    known = {i for i, *_ in labels}
+    assert seen[0][1] == sum(i not in known for i, *_ in rows) + 2 * (3 not in known)
+    good = quality.good_documents(df, lab)
+    assert good.columns == df.columns
+
+
+def test_metadata_is_of_columns_only():
+    m = quality.Metadata(["en"] * 30 + [None] * 25 + ["xx"], ["a"] * 56)
+    x = m.features(["en", None, "xx", "new"], ["a", "a", None, "b"], [10, None, 0, -3])
+    assert m.lang == {"en": 0, None: 1} and x.shape == (4, 3 + 3 + 2)
+    assert x[:, 3:6].argmax(axis=1).tolist() == [0, 1, 2, 2] and x[:, 6:].argmax(axis=1).tolist() == [0, 0, 1, 1]
+    assert x[:, 1].tolist() == [0, 1, 0, 0] and x[:, 2].tolist() == [0, 0, 1, 0]
+
+
 def test_content_features_by_hand():
-    x, layout = quality.content_features(pa.array(["AB ab 12\nab ab!", None, "  "]))
+    x = quality.content_features(pa.array(["AB ab 12\nab ab!", None, "  "]))
     at = {n: i for i, n in enumerate(quality.CONTENT)}
-    assert layout.tolist() == [[15.0, 2.0], [0.0, 1.0], [2.0, 1.0]]
     assert abs(x[0, at["upper"]] - 2 / 11) < 1e-9 and abs(x[0, at["digit"]] - 2 / 11) < 1e-9
     assert x[0, at["same_as_last"]] == 0 and x[0, at["distinct"]] == 4 / 5 and x[1, at["few_words"]] == 1
