@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, packed, row_type, size_expr
@@ -127,18 +127,44 @@ def _row_key(text: str):
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col(text), F.lit("")))
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """One row per source with its number by code point, null last: sorted by ranges, so no task holds them all."""
+    order = [F.col("source").isNull(), F.col("source")]
+    spread = materialise(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources")
+    counts = sorted((int(r["part"]), int(r["n"])) for r in spread.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
+    before, start = {}, 0
+    for part, n in counts:
+        before[part], start = start, start + n
+    first = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(0), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return spread.withColumn("number", rank + first[F.col("part")]).drop("part")
+
+
 def source_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = MAX_COPIES) -> DataFrame:
-    """Per source (of docs with columns source and size): source_size and target.
+    """Per source (of docs with columns source and size): source_size and target, as :func:`targets` gives them.
 
-    The sources are grouped with partial sums, and their table, one row a source, is small against the documents; it is
-    read by the driver to share out the excess.
+    Only sums reach the driver: in each round those of the sources that have come to their limit, until no more do.
     """
-    rows = docs.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["source_size"] or 0) for r in rows]
-    share = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], limit)
-    data = [(r["source"], s, t) for r, s, t in zip(rows, sizes, share)]
-    return docs.sparkSession.createDataFrame(data, row_type("source string, source_size long, target double"))
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    each = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    rows = materialise(_numbered(sizes).withColumn("weight", each), "weighted")
+    active = rows.where("source_size > 0")
+    total = active.agg(F.sum("source_size")).first()[0]
+    if total is None:
+        return rows.select("source", "source_size", F.lit(0.0).alias("target"))
+    left, weight = float(total), active.agg(F.sum("weight")).first()[0]
+    stopped = F.lit(False)
+    number = 0
+    while True:
+        share = F.lit(left) * F.col("weight") / F.lit(weight)
+        stopped = stopped | (share > limit * F.col("source_size"))
+        said = active.agg(F.count_if(stopped), F.sum(F.when(stopped, F.col("source_size")).otherwise(0)), F.sum(F.when(~stopped, F.col("weight")))).first()
+        if int(said[0]) == number or said[2] is None:
+            break
+        number, left, weight = int(said[0]), float(total) - limit * float(said[1]), float(said[2])
+        stopped = F.lit(left) * F.col("weight") / F.lit(weight) > limit * F.col("source_size")  # shares only rise: all that stopped still do
+    target = F.when(F.col("source_size") <= 0, 0.0).otherwise(F.least(share, limit * F.col("source_size").cast("double")))
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHTS, limit: int = MAX_COPIES, seed: int = 17) -> DataFrame:
@@ -160,14 +186,14 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
     start = share.withColumn("each", F.when(F.col("size") > 0, F.least(each, F.lit(float(limit)))).otherwise(0.0))
     base = F.floor(F.col("each") + 1e-9)
     start = start.select(
-        "doc_id", "row_key", "source", "size", F.pmod(F.xxhash64(F.lit(seed), "row_key"), F.lit(buckets)).alias("bucket"),
+        "doc_id", "row_key", "source", "size", F.pmod(F.xxhash64(F.lit(seed), F.when(F.col("size") > 0, F.col("row_key")).otherwise(F.spark_partition_id())), F.lit(buckets)).alias("bucket"),  # rows of no words have no part in the rounding
         base.alias("base"), F.greatest(F.lit(0.0), F.col("each") - base).alias("fraction"), _chance(0, seed),
     )
     parts, level = [], 0
     while True:
         order = [F.col("bucket"), F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("row_key")]
         names = [c for c in start.columns]
-        tree = start.repartition("bucket").sortWithinPartitions(*order).select(*names)
+        tree = start.repartition("bucket", "source").sortWithinPartitions(*order).select(*names)
         rounded = materialise(tree.mapInArrow(_round_sorted, row_type(_ROUNDED)), f"mix-level{level}")
         parts.append(rounded.where(F.col("extra").isNotNull()))
         left = rounded.where(F.col("extra").isNull())
@@ -193,10 +219,21 @@ def digest(docs: DataFrame) -> DataFrame:
 def repeat_documents(docs: DataFrame, text: str = "text", seed: int = 17) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix` says, with all its columns.
 
-    Rows alike in doc_id, source and text share their copies: together they come as often as the mix takes them all.
+    Rows alike in doc_id, source and text come equally often, and together as often as the mix takes them all: where that
+    leaves a remainder, some of them come once more.
     """
-    made = mix(docs, text, seed=seed).where(F.col("copies") > 0)
-    total = made.groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies")).toDF("mixed_id", "mixed", "copies")
-    once = packed(docs, own_id=F.col("doc_id").cast("long"), own=_row_key(text)).dropDuplicates(["own_id", "own"])
-    joined = once.join(total, (F.col("own") == F.col("mixed")) & F.col("own_id").eqNullSafe(F.col("mixed_id")))
-    return joined.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
+    made = mix(docs, text, seed=seed)
+    total = made.groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    total = total.select(F.col("doc_id").alias("mixed_id"), F.col("row_key").alias("mixed"), F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("rest"))
+    keyed = packed(docs, own_id=F.col("doc_id").cast("long"), own=_row_key(text))
+    joined = keyed.join(total, (F.col("own") == F.col("mixed")) & F.col("own_id").eqNullSafe(F.col("mixed_id")))
+    several = joined.where("rest > 0").select("row", "own_id", "own", "each", "rest", F.spark_partition_id().alias("part"))
+    several = materialise(several, "mix-remainders")  # so that parts stay what they are
+    parts = several.groupBy("own_id", "own", "part").agg(F.count("*").alias("k"))
+    earlier = Window.partitionBy("own_id", "own").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("own_id").alias("p_id"), F.col("own").alias("p_own"), F.col("part").alias("p_part"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("own_id", "own", "part").orderBy(F.lit(0)))
+    ranked = several.withColumn("rank", within).join(parts, (F.col("own") == F.col("p_own")) & F.col("own_id").eqNullSafe(F.col("p_id")) & (F.col("part") == F.col("p_part")))
+    more = ranked.select("row", (F.col("each") + (F.col("rank") + F.col("before") <= F.col("rest")).cast("long")).alias("times"))
+    out = joined.where("rest = 0").select("row", F.col("each").alias("times")).unionByName(more).where("times > 0")
+    return out.select("row", F.explode(F.expr("sequence(1L, times)"))).select("row.*")

@@ -180,14 +180,14 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spark = pieces.sparkSession
     names = [x.split()[0] for x in PIECES.split(", ")]
-    rows = materialise(pieces.select(*names), "pieces")
+    rows = materialise(pieces.select(*names, F.spark_partition_id().alias("_part")), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
     if not counts:
-        return rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return rows.select(*names).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     made = plan(counts, length)
     table = spark.sparkContext.broadcast(slots(made))  # bounded by the number of lengths, not of pieces
     n = max(1, math.ceil(sum(counts.values()) / BUCKET_PIECES))
-    split = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * n)))
+    split = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_part"), F.lit(4 * n)))
     sizes = split.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

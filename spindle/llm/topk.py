@@ -19,7 +19,7 @@ from .common import materialise, row_type
 
 SCALE = 256
 SHARD_ROWS = 8192
-QUERY_ROWS = 4096
+QUERY_ROWS = 32_768
 LEAF_ROWS = 128
 
 _HITS = "query_key long, query_id long, vec_id long, score long"

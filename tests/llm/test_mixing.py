@@ -78,6 +78,25 @@ def test_repeated_documents(spark):
     assert made == +want
 
 
+def test_targets_of_many_sources_equal_those_on_one_machine(spark):
+    r = random.Random(5)
+    for sizes in ([r.choice([0, 1, 3, 10, 400, 100_000]) for _ in range(300)], [7] * 10, [0, 0, 3]):
+        names = [f"s{i:03d}" for i in range(len(sizes) - 1)] + [None]
+        df = spark.createDataFrame(list(zip(names, sizes)), "source string, size long").repartition(7)
+        got = {x["source"]: (x["source_size"], x["target"]) for x in mixing.source_targets(df).collect()}
+        want = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+        assert {n: s for n, (s, _) in got.items()} == dict(zip(names, sizes))
+        assert all(abs(got[n][1] - t) < 1e-6 * max(1, t) for n, t in zip(names, want))
+
+
+def test_rows_alike_keep_their_other_columns(spark):
+    data = [(7, "one two three", "a", k) for k in range(40)] + [(i, "w " * 30, "b", i) for i in range(20)] + [(99, "long " * 50_000, "c", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, doc_id_2 int")
+    times = collections.Counter(r["doc_id_2"] for r in mixing.repeat_documents(df).where("doc_id = 7").collect())
+    total = sum(r["copies"] for r in mixing.mix(df).where("doc_id = 7").collect())
+    assert sum(times.values()) == total and max(times.values()) - min(times[k] for k in range(40)) <= 1
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.digest(df).count() == 0 and mixing.repeat_documents(df).count() == 0
