@@ -337,8 +337,8 @@ add(
 )
 add("md4_json_to_markdown", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", converted(F.lit("e.json"), F.col("props").cast("binary")).alias("c")).select("event_id", "c.markdown"))
 add(
-    "md5_text_passthrough", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", converted(F.lit("d.txt"), F.col("text").cast("binary")).alias("c")).select("doc_id", F.length("c.markdown").cast("long").alias("n")),
-    "SELECT doc_id, length(text) AS n FROM documents", graph=False,
+    "md5_text_passthrough", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", converted(F.lit("d.txt"), F.col("text").cast("binary")).alias("c")).select("doc_id", F.md5(F.col("c.markdown").cast("binary")).alias("h")),
+    "SELECT doc_id, md5(text) AS h FROM documents", graph=False,
 )
 add("ex26_normalise_whitespace", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(strings.normalise_whitespace(F.col("text")).cast("binary")).alias("h")))
 add(
@@ -368,7 +368,11 @@ add(
 )
 add("s1_bag_union", on_graph(lambda g: search.keyword_hits(g, "p1", "urgent", 30).unionByName(search.keyword_hits(g, "p1", "signup", 30)).select("id", "score")), f"SELECT id, score FROM ({keyword_sql(['urgent'], 'p1', 30)}) UNION ALL SELECT id, score FROM ({keyword_sql(['signup'], 'p1', 30)})")
 add("s3_edge_set", on_graph(lambda g: g.relation.select("from_id", "to_id", "rel_type").dropDuplicates()), "SELECT DISTINCT from_id, to_id, rel_type FROM relation")
-add("w1_top_two_by_time", on_graph(lambda g: search.top_observations(g, g.entity.where("project_id = 'p2'"), 2).select("entity_id", F.size("observations").cast("long").alias("n"))), "SELECT entity_id, least(count(*), 2) AS n FROM observation WHERE linked AND entity_id IN (SELECT id FROM entity WHERE project_id = 'p2') GROUP BY entity_id")
+add(
+    "w1_top_two_by_time", on_graph(lambda g: search.top_observations(g, g.entity.where("project_id = 'p2'"), 2).select("entity_id", F.array_join(F.transform("observations", lambda o: F.concat_ws(" ", o["id"], o["content"])), ", ").alias("newest"))),
+    ", o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC NULLS LAST, id) AS k FROM observation WHERE linked AND entity_id IN (SELECT id FROM entity WHERE project_id = 'p2')) "
+    "SELECT entity_id, string_agg(concat(id, ' ', content), ', ' ORDER BY k) AS newest FROM o WHERE k <= 2 GROUP BY entity_id",
+)
 add("r12_preflight_hits", on_graph(lambda g: search.keyword_hits(g, "p1", "high click", 16).select("id", "type", "name")), f"SELECT id, type, name FROM ({keyword_sql(['high', 'click'], 'p1', 16)})")
 add("sc1_words", on_table("benchmark", lambda d: d.select("item_id", F.size(strings.words(F.col("text"))).cast("long").alias("n"))), "SELECT item_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM benchmark", graph=False)
 add("sc3_trim_end", on_table("events", lambda d: d.select("event_id", strings.trim_end(F.concat("event_type", F.lit(" \t\r"))).alias("t"))), "SELECT event_id, event_type AS t FROM events", graph=False)
@@ -381,7 +385,6 @@ add(
 )
 add("sc20_escape_pipes", on_table("part", lambda d: d.select("p_partkey", strings.escape_pipes(F.concat_ws("|", "p_name", "p_brand")).alias("t"))), "SELECT p_partkey, concat(p_name, '\\|', p_brand) AS t FROM part", graph=False)
 add("sc22_natural_id", on_table("part", lambda d: d.select("p_partkey", strings.natural_id(F.col("p_name"), F.col("p_brand")).alias("id"))), "SELECT p_partkey, sha256(concat(p_name, chr(0), p_brand)) AS id FROM part", graph=False)
-add("ex28_significant", on_table("documents", lambda d: d.select("doc_id", strings.significant(F.substring_index("text", " ", 1)).alias("good"))), "SELECT doc_id, strlen(split_part(text, ' ', 1)) >= 3 AND NOT regexp_full_match(split_part(text, ' ', 1), '[0-9]+') AS good FROM documents", graph=False)
 _SCOPE = files.Scope("s", include=("https:/**/*", "http:/**/*"), exclude=("**/*top", "http:/**/*"))
 add("src6_scope_predicate", on_table("pages", lambda d: d.select("page_id", F.regexp_replace("url", "//+", "/").alias("p")).select("page_id", _SCOPE.predicate(F.col("p")).alias("inside"))), "SELECT page_id, starts_with(url, 'https:') AND NOT ends_with(url, 'top') AS inside FROM pages", graph=False)
 add(

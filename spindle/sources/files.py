@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,6 +166,10 @@ class IgnoreRules:
             out.rules.append((("" if anchored else r"(?:[^/]+/)*") + body, folder, keep))
         return out
 
+    def predicate(self, path: Column) -> Column:
+        """Whether a path is ignored; rules are ordered and the last wins, which no built-in says, so in Arrow batches."""
+        return F.arrow_udf(lambda paths: pa.array([self.ignored(p or "") for p in paths.to_pylist()], pa.bool_()), T.BooleanType())(path)
+
     def ignored(self, path: str) -> bool:
         parts = path.split("/")
         for k in range(1, len(parts) + 1):
@@ -191,8 +196,7 @@ def source_files(spark: SparkSession, root: str, scope: Scope | None = None, ign
     if scope:
         rows = rows.where(scope.predicate(F.col("rel_path")))
     if ignore and ignore.rules:
-        dropped = F.udf(ignore.ignored, T.BooleanType())  # ordered, last rule wins: no built-in says that
-        rows = rows.where(~dropped("rel_path"))
+        rows = rows.where(~ignore.predicate(F.col("rel_path")))
     return rows.select("rel_path", F.lower(F.regexp_extract("rel_path", r"(\.[^./]*)$", 1)).alias("ext"), "content", "size")
 
 
@@ -230,8 +234,13 @@ def exec_logs(spark: SparkSession, tasks: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         log = log.withColumn("meta", F.lit(None).cast("string"))
-    lines = F.udf(lambda text, meta: logs.exec_observations(text or "", meta), T.ArrayType(T.StringType()))
-    return log.select("task", F.concat(F.lit("exec:"), F.col("task")).alias("entity_name"), F.posexplode(lines("log", "meta")).alias("ordinal", "content"))
+    return log.select("task", F.concat(F.lit("exec:"), F.col("task")).alias("entity_name"), F.posexplode(exec_lines(F.col("log"), F.col("meta"))).alias("ordinal", "content"))
+
+
+def exec_lines(log: Column, meta: Column) -> Column:
+    """EX30: the observations on an execution log and its metadata, in Arrow batches."""
+    run = lambda texts, metas: pa.array([logs.exec_observations(t or "", m) for t, m in zip(texts.to_pylist(), metas.to_pylist())], pa.list_(pa.string()))
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))(log, meta)
 
 
 _LOG_ENTITY = T.StructType(
