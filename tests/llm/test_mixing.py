@@ -90,11 +90,13 @@ def test_targets_of_many_sources_equal_those_on_one_machine(spark):
 
 
 def test_rows_alike_keep_their_other_columns(spark):
-    data = [(7, "one two three", "a", k) for k in range(40)] + [(i, "w " * 30, "b", i) for i in range(20)] + [(99, "long " * 50_000, "c", 1)]
+    data = [(7, "one two three", "b", k) for k in range(40)] + [(100 + i, "w " * 30, "a", i) for i in range(20)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string, doc_id_2 int")
     times = collections.Counter(r["doc_id_2"] for r in mixing.repeat_documents(df).where("doc_id = 7").collect())
     total = sum(r["copies"] for r in mixing.mix(df).where("doc_id = 7").collect())
-    assert sum(times.values()) == total and max(times.values()) - min(times[k] for k in range(40)) <= 1
+    assert sum(times.values()) == total and total % 40 and max(times.values()) - min(times[k] for k in range(40)) <= 1
+    long = spark.createDataFrame([(1, "long " * 60_000, "c", 1), (2, "x y", "c", 1), (3, "x " * 40_000, "d", 1)], "doc_id long, text string, source string, doc_id_2 int")
+    assert sum(r["copies"] * r["size"] for r in mixing.mix(long).collect()) > 0
 
 
 def test_empty_tables(spark):
