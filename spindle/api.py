@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -35,9 +36,16 @@ def as_text(hits: DataFrame) -> str:
 
 
 def index_project(spark: SparkSession, store: Store, root: str, project: str, scope: files.Scope | None = None, year: int | None = None, ignore: files.IgnoreRules | None = None) -> dict:
-    """CMD2, EX1, EX20: extract, resolve calls, load, in one swap. Problems of single files are counted, not raised."""
+    """CMD2, EX1, EX20: sources, execution logs and service logs: extract once, resolve calls, load, in one swap.
+
+    Ignore files at the root are heeded unless ``ignore`` says otherwise. Problems of single files are counted, not raised,
+    and those of logs only warned of.
+    """
     now = datetime.now(timezone.utc).replace(microsecond=0)
-    x = files.extract_files(files.source_files(spark, root, scope, ignore))
+    ignore = files.ignore_rules(root) if ignore is None else ignore
+    rows = files.source_files(spark, root, scope, ignore)
+    written = store.scratch(files.extracted_files(rows))  # five tables and some counts come of it
+    x = files.split_extracted(written)
     entities = graph_ops.first_seen(x.entities.select("id", "name", "type", "rel_path", "ordinal"))
     functions = entities.where(F.col("type") == "function").select("id", "name", "rel_path")
     resolved = graph_ops.resolve_calls(functions, x.calls)
@@ -47,17 +55,36 @@ def index_project(spark: SparkSession, store: Store, root: str, project: str, sc
     none = F.lit(None).cast("array<float>")
     observations = x.observations
     rows = entities.select("id", "name", "type")
-    logs = files.app_logs(spark, root, year or now.year, scope).select("path", F.inline("entities"))
-    log_rows = logs.select(F.sha2(F.concat_ws("\0", "path", "name"), 256).alias("id"), "name", "type", "observations")
-    rows = rows.unionByName(log_rows.select("id", "name", "type").dropDuplicates(["id"]))
-    observations = observations.unionByName(log_rows.select(F.col("id").alias("entity_id"), F.explode("observations").alias("content")))
+    for logs in _logs(spark, root, year or now.year, scope):
+        rows = rows.unionByName(logs.select("id", "name", "type").dropDuplicates(["id"]))
+        observations = observations.unionByName(logs.select(F.col("id").alias("entity_id"), F.explode("observations").alias("content")))
     entity = rows.select("id", "name", "type", F.lit(project).alias("project_id"), stamp.alias("created_at"), stamp.alias("updated_at"), none.alias("embedding"), F.lit("").alias("layer"))
     oid = F.sha2(F.concat_ws("\0", "entity_id", "content"), 256).alias("id")
     observation = observations.select(oid, "entity_id", "content", stamp.alias("created_at"), none.alias("embedding"), F.lit(True).alias("linked"))
     store.reindex(project, entity, relations, observation)
     g = store.graph()
     counts = {r["what"]: r["n"] for r in graph_ops.stats(g, project).collect()}
-    return counts | graph_ops.call_counts(resolved).first().asDict() | {"failed_files": x.errors.count()}
+    counts |= graph_ops.call_counts(resolved).first().asDict() | {"files": written.count(), "failed_files": x.errors.count()}
+    store.drop_scratch()
+    return counts
+
+
+def _logs(spark: SparkSession, root: str, year: int, scope: files.Scope | None) -> list[DataFrame]:
+    """SRC11, SRC12: id, name, type and observations of what logs tell; a kind of logs that can't be read is warned of."""
+    out = []
+    try:
+        app = files.app_logs(spark, root, year, scope).select("path", F.inline("entities"))
+        out.append(app.select(F.sha2(F.concat_ws("\0", "path", "name"), 256).alias("id"), "name", "type", "observations"))
+    except Exception as e:
+        warnings.warn(f"service logs aren't indexed: {e}", stacklevel=2)
+    tasks = Path(root) / ".ai" / "tasks"
+    if any(tasks.glob("*/execution.log")):
+        try:
+            said = files.exec_logs(spark, tasks.as_uri()).groupBy("entity_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("o"))  # some ten lines a log
+            out.append(said.select(F.col("entity_name").alias("id"), F.col("entity_name").alias("name"), F.lit("execution").alias("type"), F.col("o.content").alias("observations")))
+        except Exception as e:
+            warnings.warn(f"execution logs aren't indexed: {e}", stacklevel=2)
+    return out
 
 
 @dataclass
@@ -85,8 +112,12 @@ class Tools:
             return as_text(search.federated_keyword(self._layers(), self.project, query, limit, self._now()))
         return as_text(search.keyword_hits(self.store.graph(), self.project, query, limit))
 
-    def add_entity(self, name: str, type: str) -> str:  # noqa: A002
-        return self.store.create_entity(name, type, self.project)
+    def add_entity(self, name: str, type: str, summary: str = "") -> str:  # noqa: A002
+        """CMD5: with a first observation, if there is a summary."""
+        eid = self.store.create_entity(name, type, self.project)
+        if summary:
+            self.store.create_observation(eid, summary, self.project)
+        return eid
 
     def add_observation(self, entity_id: str, content: str) -> str:
         return self.store.create_observation(entity_id, content, self.project)
@@ -104,8 +135,17 @@ class Tools:
     def query_graph(self, cypher: str) -> list[list]:
         return [list(r) for r in pattern.query(self.store.graph(), cypher).collect()]
 
-    def index_project(self) -> dict:
-        return index_project(self.spark, self.store, self.root, self.project)
+    def index_project(self, scope: str = "", every: bool = False) -> dict:
+        """CMD1, CMD2: the scopes that are asked for, the default one, or all there are; without any, the whole tree.
+
+        Each scope is a project of the store, named as the scope.
+        """
+        known = files.ScopeStore(Path(self.root) / ".ai")
+        names = known.to_index(every, scope)
+        if not names:
+            return index_project(self.spark, self.store, self.root, self.project)
+        done = {n: index_project(self.spark, self.store, self.root, n, known.read(n)) for n in names}
+        return done[names[0]] if len(names) == 1 else done
 
     def show_entity(self, entity_id: str) -> dict:
         """CMD3."""
@@ -143,6 +183,17 @@ class Tools:
         p.create_observation(eid, f"{MARKER} [REQUEST] {json.dumps(user_request, ensure_ascii=False)}", "personal")
         return eid
 
+    def personal_command(self, action: str = "path", *args: str):
+        """CMD8: path, search QUERY, show ID, stats, add TITLE CONTENT, forget ID."""
+        mine = Tools(self.spark, self._personal(), "personal", self.root)
+        if action == "add":
+            eid = mine.add_entity(args[0], "note", args[1] if len(args) > 1 else "")
+            return eid
+        known = {"path": lambda: str(self._personal().folder), "search": self.search_personal_knowledge, "show": mine.show_entity, "stats": mine.stats, "forget": self.forget_personal}
+        if action not in known:
+            raise ValueError(f"personal: {', '.join([*known, 'add'])}")
+        return known[action](*args)
+
     def forget_personal(self, entity_id: str) -> None:
         """CMD8."""
         self._personal().delete_entity(entity_id, "personal", cascade=True)
@@ -228,13 +279,16 @@ def serve(tools: Tools, lines=sys.stdin, write: Callable[[str], object] = sys.st
 
 
 def main(argv: list[str] | None = None) -> int:
-    """The command line: index, search, stats, show, add, link, query, config, perf, personal, convert, server, version."""
+    """The command line: index, search, stats, show, add, observe, link, query, config, perf, personal, convert, server, version."""
     p = argparse.ArgumentParser(prog="spindle")
     p.add_argument("--root", default=".")
     p.add_argument("--store", default=os.environ.get("SPINDLE_STORE", ""))
     p.add_argument("--personal", default=os.environ.get("SPINDLE_PERSONAL", ""))
     p.add_argument("--project", default="default")
-    p.add_argument("command", choices=("index", "search", "stats", "show", "add", "link", "query", "config", "perf", "personal", "convert", "server", "version"))
+    p.add_argument("--scope", default="")
+    p.add_argument("--all", action="store_true")
+    p.add_argument("--layer", action="append", default=[], help="NAME=STORE, more to search in")
+    p.add_argument("command", choices=("index", "search", "stats", "show", "add", "observe", "link", "query", "config", "perf", "personal", "convert", "server", "version"))
     p.add_argument("args", nargs="*")
     a = p.parse_args(argv)
     if a.command == "version":
@@ -249,17 +303,23 @@ def main(argv: list[str] | None = None) -> int:
             print("\n".join(scopes.names()))
         return 0
     if a.command == "convert":
-        print(convert.convert(a.args[0], Path(a.args[0]).read_bytes()))
+        text = convert.convert(a.args[0], Path(a.args[0]).read_bytes(), convert.formats.Config.from_env(os.environ))
+        if len(a.args) > 1:
+            Path(a.args[1]).write_text(text)
+        else:
+            print(text)
         return 0
     from .session import get_session
 
     spark = get_session("spindle-cli")
     with Store(spark, a.store or str(root / ".ai" / "graph")) as store:
         personal = Store(spark, a.personal) if a.personal else None
-        tools = Tools(spark, store, a.project, str(root), personal)
+        layers = tuple((n, Store(spark, at, read_only=True)) for n, at in (x.split("=", 1) for x in a.layer))
+        scope = a.scope or files.ScopeStore(root / ".ai").default()
+        tools = Tools(spark, store, scope if scope and a.project == "default" and a.command != "index" else a.project, str(root), personal, layers)
         call = {
-            "index": tools.index_project, "search": tools.search_knowledge, "stats": tools.stats, "show": tools.show_entity, "add": tools.add_entity, "link": tools.link_entities, "query": tools.query_graph,
-            "perf": lambda: tools.perf_report(str(root / ".ai" / "tasks")), "personal": tools.search_personal_knowledge, "server": lambda: serve(tools),
+            "index": lambda: tools.index_project(a.scope, a.all), "search": tools.search_knowledge, "stats": tools.stats, "show": tools.show_entity, "add": tools.add_entity, "observe": tools.add_observation, "link": tools.link_entities, "query": tools.query_graph,
+            "perf": lambda: tools.perf_report(str(root / ".ai" / "tasks")), "personal": tools.personal_command, "server": lambda: serve(tools),
         }[a.command]
         out = call(*a.args)
         if out is not None:

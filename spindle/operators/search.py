@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
 from datetime import datetime
 
@@ -138,7 +139,7 @@ def merge_layers(results: list[tuple[int, int, DataFrame]], limit: int | None) -
 
 
 def federated_search(layers: list[Layer], project: str, query: str, vector: list[float] | None, config: SearchConfig, now: datetime) -> DataFrame:
-    """Every layer's own top-k first, then the merge. A layer whose tables can't be analysed is skipped."""
+    """Every layer's own top-k first, then the merge. A layer whose tables can't be analysed is skipped with a warning."""
     if len({x.name for x in layers}) != len(layers):
         raise ValueError("layer names must differ")
     c = config.resolved()
@@ -150,6 +151,7 @@ def federated_search(layers: list[Layer], project: str, query: str, vector: list
         except Exception as e:
             if isinstance(e, ValueError):
                 raise
+            warnings.warn(f"layer {x.name} is skipped: {type(e).__name__}: {str(e)[:200]}", stacklevel=2)
             continue
         found.append((i, x.priority, hits))
     return merge_layers(found, c.limit)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import subprocess
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -185,21 +187,52 @@ class IgnoreRules:
 # ---------------------------------------------------------------- reading
 
 
+def _below(root: str) -> Column:
+    """The path of a file relative to the root that it was found under."""
+    base = re.escape("/" + re.sub(r"^file:/+", "", root.rstrip("/")).lstrip("/")) + "/"
+    return F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + base, "")
+
+
+def _outside(path: Column, skipped: tuple[str, ...]) -> Column:
+    """Whether none of the directories above a path is to be skipped."""
+    parts = F.split(path, "/")
+    return ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, skipped)))
+
+
+def _kept_files(spark: SparkSession, root: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Path, content and length of the files that ``keep`` leaves of (path, rel_path, length): others are listed, not read.
+
+    The driver holds the list of paths, as it does for any table of files.
+    """
+    reader = lambda: spark.read.format("binaryFile")
+    listed = reader().option("recursiveFileLookup", "true").load(root.rstrip("/")).select("path", _below(root).alias("rel_path"), "length")
+    paths = [r["path"] for r in keep(listed).select("path").collect()]
+    if not paths:
+        return reader().option("recursiveFileLookup", "true").load(root.rstrip("/")).where(F.lit(False))
+    return reader().load(paths)
+
+
 def source_files(spark: SparkSession, root: str, scope: Scope | None = None, ignore: IgnoreRules | None = None) -> DataFrame:
-    """SRC1, SRC2: rel_path, ext, content and size of the files below ``root``; only those that are kept are read on."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape("/" + re.sub(r"^file:/+", "", base).lstrip("/")) + "/", "")
-    rows = files.select(rel.alias("rel_path"), "content", F.col("length").alias("size"))
-    parts = F.split("rel_path", "/")
-    rows = rows.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, SKIPPED))))
-    if scope:
-        rows = rows.where(scope.predicate(F.col("rel_path")))
-    if ignore and ignore.rules:
-        rows = rows.where(~ignore.predicate(F.col("rel_path")))
+    """SRC1, SRC2: rel_path, ext, content and size of the files below ``root``; only those kept are read."""
+
+    def keep(rows: DataFrame) -> DataFrame:
+        rows = rows.where(_outside(F.col("rel_path"), SKIPPED))
+        if scope:
+            rows = rows.where(scope.predicate(F.col("rel_path")))
+        if ignore and ignore.rules:
+            rows = rows.where(~ignore.predicate(F.col("rel_path")))
+        return rows
+
+    rows = _kept_files(spark, root, keep).select(_below(root).alias("rel_path"), "content", F.col("length").alias("size"))
     return rows.select("rel_path", F.lower(F.regexp_extract("rel_path", r"(\.[^./]*)$", 1)).alias("ext"), "content", "size")
 
 
+def ignore_rules(root: str) -> IgnoreRules:
+    """SRC3: the rules of the ignore files at the root, those of the second after those of the first."""
+    found = [Path(root) / n for n in (".gitignore", ".claudeignore")]
+    return IgnoreRules.parse(*(f.read_text(errors="replace") for f in found if f.is_file()))
+
+
 @dataclass(frozen=True)
 class Extraction:
     entities: DataFrame
@@ -209,9 +242,13 @@ class Extraction:
     errors: DataFrame
 
 
-def extract_files(files: DataFrame) -> Extraction:
-    """EX1 over a table of files: one UDF call per file, then four flat tables. Entities still repeat across files (W6 drops that)."""
-    rows = files.select("rel_path", extracted(F.col("rel_path"), F.col("content")).alias("x")).where(F.col("x").isNotNull())
+def extracted_files(files: DataFrame) -> DataFrame:
+    """EX1: rel_path and the records ``x`` of each file that an extractor takes: one call a file."""
+    return files.select("rel_path", extracted(F.col("rel_path"), F.col("content")).alias("x")).where(F.col("x").isNotNull())
+
+
+def split_extracted(rows: DataFrame) -> Extraction:
+    """Flat tables of extracted files. Entities still repeat across files (W6 drops that)."""
     part = lambda name: rows.select("rel_path", F.inline(f"x.{name}"))
     return Extraction(
         part("entities"), part("relations").drop("rel_path"), rows.select(F.inline("x.calls")), rows.select(F.inline("x.observations")),
@@ -219,7 +256,9 @@ def extract_files(files: DataFrame) -> Extraction:
     )
 
 
-_EXEC = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.StringType())])
+def extract_files(files: DataFrame) -> Extraction:
+    """Both at once; where several of the tables are read, write the extracted files first (:meth:`Store.scratch`)."""
+    return split_extracted(extracted_files(files))
 
 
 def exec_logs(spark: SparkSession, tasks: str) -> DataFrame:
@@ -272,27 +311,31 @@ def parse_logs(files: DataFrame, year: int, keep_stack: bool = False, registry:
         if fmt is None:
             return None
         r = fmt.parse(path, text or "")
-        rows = [(e.name, e.type, e.severity, _utc(e.timestamp), e.message, logs.entity_observations(e, path)) for e in r.entities]
-        return fmt.name, rows, r.lines, r.errors, r.warnings, _utc(r.start), _utc(r.end), r.affected
+        names = _LOG_ENTITY.names
+        rows = [dict(zip(names, (e.name, e.type, e.severity, _utc(e.timestamp), e.message, logs.entity_observations(e, path)))) for e in r.entities]
+        return dict(zip(LOG_RESULT.names, (fmt.name, rows, r.lines, r.errors, r.warnings, _utc(r.start), _utc(r.end), r.affected)))
+
+    def batch(paths: pa.Array, texts: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return pa.array([parse(p or "", t) for p, t in zip(paths.to_pylist(), texts.to_pylist())], to_arrow_type(LOG_RESULT))
 
-    run = F.udf(parse, LOG_RESULT)
-    return files.select("path", run("path", "log_text").alias("r")).where(F.col("r").isNotNull()).select("path", "r.*")
+    return files.select("path", F.arrow_udf(batch, LOG_RESULT)("path", "log_text").alias("r")).where(F.col("r").isNotNull()).select("path", "r.*")
 
 
 def app_logs(spark: SparkSession, root: str, year: int, scope: Scope | None = None, keep_stack: bool = False) -> DataFrame:
     """SRC12: logs anywhere below ``root``, but for skipped directories and files above the size limit."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.escape("/" + re.sub(r"^file:/+", "", root.rstrip("/")).lstrip("/")) + "/"
-    rows = files.select(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + base, "").alias("path"), "content", "length").where(F.col("length") <= MAX_LOG_BYTES)
-    parts = F.split("path", "/")
-    rows = rows.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, LOG_SKIPPED))))
-    if scope:
-        rows = rows.where(scope.predicate(F.col("path")))
-    return parse_logs(rows.select("path", F.col("content").cast("string").alias("log_text")), year, keep_stack)
+
+    def keep(rows: DataFrame) -> DataFrame:
+        rows = rows.where((F.col("length") <= MAX_LOG_BYTES) & _outside(F.col("rel_path"), LOG_SKIPPED))
+        return rows.where(scope.predicate(F.col("rel_path"))) if scope else rows
+
+    rows = _kept_files(spark, root, keep).select(_below(root).alias("path"), F.col("content").cast("string").alias("log_text"))
+    return parse_logs(rows, year, keep_stack)
 
 
 def metrics(spark: SparkSession, tasks: str) -> DataFrame:
-    """SRC13: the runs of ``<task>/metrics.json``; malformed files are left out."""
+    """SRC13: the runs of ``<task>/metrics.json``; malformed files are left out, and a warning says how many."""
     schema = T.StructType(
         [
             T.StructField("kg_preflight_bytes", T.LongType()), T.StructField("turns", T.LongType()), T.StructField("total_tokens", T.LongType()), T.StructField("duration_ms", T.LongType()),
@@ -300,6 +343,9 @@ def metrics(spark: SparkSession, tasks: str) -> DataFrame:
         ]
     )
     rows = spark.read.schema(schema).json(f"{tasks.rstrip('/')}/*/metrics.json", multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    bad = rows.agg(F.count_if(F.col("_bad").isNotNull()), F.max("turns")).first()[0]
+    if bad:
+        warnings.warn(f"{bad} malformed metrics files are left out", stacklevel=2)
     return rows.where(F.col("_bad").isNull()).drop("_bad").withColumnRenamed("kg_preflight_bytes", "preflight_bytes")
 
 
@@ -323,7 +369,13 @@ def project_root(start: str) -> Path:
     return next((p for p in up if any((p / m).exists() for m in marks)), here)
 
 
-def fetch(url: str, timeout: float = 30.0, allowed: Callable[[str], bool] = lambda host: True) -> tuple[str, bytes]:
+def allowed_host(host: str) -> bool:
+    """Hosts that SPINDLE_HOSTS lists, with those below them; unset, local ones only."""
+    own = [h.strip().lower() for h in os.environ.get("SPINDLE_HOSTS", "localhost,127.0.0.1").split(",") if h.strip()]
+    return any(h == "*" or host.lower() == h or host.lower().endswith("." + h) for h in own)
+
+
+def fetch(url: str, timeout: float = 30.0, allowed: Callable[[str], bool] = allowed_host) -> tuple[str, bytes]:
     """SRC18: extension and content of a page. A status of 400 and above is an error; text/html and no type at all mean HTML."""
     from urllib.error import HTTPError
     from urllib.parse import urlsplit

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,9 +72,14 @@ class Store:
         if not files:
             return rows
         changes = self.spark.read.parquet(*files)
-        every = rows.withColumns({"_seq": F.lit(-1).cast("long"), "_op": F.lit("put")}).unionByName(changes)
-        newest = Window.partitionBy(*_KEYS[name]).orderBy(F.desc("_seq"))
-        return every.withColumn("_k", F.row_number().over(newest)).where("_k = 1 and _op = 'put'").drop("_k", "_seq", "_op")
+        # the changes are few against the snapshot: they are ranked alone, and the snapshot loses the keys that they touch
+        keys = list(_KEYS[name])
+        newest = Window.partitionBy(*keys).orderBy(F.desc("_seq"))
+        latest = changes.withColumn("_k", F.row_number().over(newest)).where("_k = 1")
+        touched = latest.select(*(F.col(k).alias(f"_{k}") for k in keys))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        put = latest.where("_op = 'put'").drop("_k", "_seq", "_op")
+        return rows.join(touched, same, "left_anti").unionByName(put)
 
     def graph(self) -> Graph:
         return Graph(self.table("entity"), self.table("observation"), self.table("relation"))
@@ -91,6 +98,15 @@ class Store:
     def _row(self, table: str, /, **values) -> DataFrame:
         return self.spark.createDataFrame([tuple(values.get(c) for c in _SCHEMAS[table].names)], _SCHEMAS[table])
 
+    def scratch(self, rows: DataFrame) -> DataFrame:
+        """``rows``, written beside the store so that they are computed once; until :meth:`drop_scratch`."""
+        path = f"scratch/{uuid.uuid4().hex}"
+        rows.write.parquet(str(self.folder / path))
+        return self.spark.read.schema(rows.schema).parquet(str(self.folder / path))
+
+    def drop_scratch(self) -> None:
+        shutil.rmtree(self.folder / "scratch", ignore_errors=True)
+
     def compact(self) -> None:
         """Write a new snapshot without changes behind it."""
         self.replace({t: self.table(t) for t in _SCHEMAS})

@@ -82,3 +82,27 @@ def test_index_and_tools(spark, tmp_path):
 
 def test_truth():
     assert [api.truthy(x) for x in (None, "", "0", "No", "off", "1", "x")] == [False] * 5 + [True] * 2
+
+
+def test_index_heeds_ignore_files_scopes_and_execution_logs(spark, tmp_path):
+    root = tmp_path / "proj"
+    for name, text in {"src/a.py": "def run(): pass\n", "gen/b.py": "def made(): pass\n", "lib/c.py": "def lib(): pass\n", ".gitignore": "gen/\n", ".claudeignore": "!gen/\n*.tmp\n", ".ai/tasks/t1/execution.log": "Turn 3 (inactive: 1)\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / ".gitignore").write_text("gen/\n")
+    (root / ".claudeignore").write_text("*.tmp\n")
+    with Store(spark, str(tmp_path / "g")) as s:
+        t = api.Tools(spark, s, "p", str(root))
+        counts = t.index_project()
+        names = {r["name"] for r in s.graph().entity.collect()}
+        assert {"run", "lib", "exec:t1"} <= names and "made" not in names and counts["files"] == 2
+        assert [r["content"] for r in ops.get_observations(s.graph(), "exec:t1", "p").collect()] == ["turns: 3"]
+        (root / ".ai" / "scope").mkdir()
+        for n, g in (("one", "src/**/*"), ("two", "lib/**/*")):
+            (root / ".ai" / "scope" / f"{n}.json").write_text(json.dumps({"name": n, "include": [g]}))
+        both = t.index_project()
+        assert set(both) == {"one", "two"} and both["one"]["files"] == 1
+        assert t.index_project(scope="two")["files"] == 1
+        eid = t.add_entity("by hand", "concept", "a summary")
+        assert t.show_entity(eid)["observations"] == ["a summary"]
+        assert not list((tmp_path / "g" / "scratch").glob("*")) if (tmp_path / "g" / "scratch").exists() else True
