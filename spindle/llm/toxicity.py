@@ -123,10 +123,28 @@ class Classifier:
 
     def __init__(self, weights: dict[bytes, float], intercept: float) -> None:
         self.weights, self.intercept = weights, intercept
+        starts = {t for t in weights if t.endswith(b"*")}
+        self.patterns = [(p, weights[name.encode()]) for name, p in _PATTERNS.items() if name.encode() in weights]
+        self.words = {t: w for t, w in weights.items() if t not in starts and not t.startswith(b"@")}
+        self.starts: dict[int, dict[bytes, tuple[float, float]]] = {}  # by length: the weight of a start, and what it adds to it if several words have it
+        for t in starts:
+            stem = t.rstrip(b"*")
+            self.starts.setdefault(len(stem), {})[stem] = (weights.get(stem + b"*", 0.0), weights.get(stem + b"**", 0.0))
 
     def score(self, text: str | None) -> float:
-        get = self.weights.get
-        z = self.intercept + sum(get(t, 0.0) for t in terms(text) & self.weights.keys())
+        """What :func:`terms` has of the weights, summed up, without making terms that have none."""
+        own = (text or "").encode()
+        words = set(own.translate(_TABLE).split())
+        z = self.intercept + sum(map(self.words.__getitem__, words & self.words.keys()))
+        for n, stems in self.starts.items():
+            seen: dict[bytes, int] = {}
+            for w in words:
+                if w[:n] in stems and len(w) > n:
+                    seen[w[:n]] = seen.get(w[:n], 0) + 1
+            for stem, k in seen.items():
+                once, twice = stems[stem]
+                z += once + twice if k > 1 else once
+        z += sum(w for p, w in self.patterns if p.search(own))
         return float(sigmoid(np.array(z)))
 
 
