@@ -59,7 +59,6 @@ add(
     "crud12_traverse", on_graph(lambda g: ops.traverse(g, "order:2", "CONTAINS", "p1")),
     "SELECT b.id, b.name, b.type, b.project_id FROM relation r JOIN entity a ON a.id = r.from_id JOIN entity b ON b.id = r.to_id WHERE a.id = 'order:2' AND a.project_id = 'p1' AND r.rel_type = 'CONTAINS'",
 )
-add("crud15_unembedded", on_graph(lambda g: g.entity.where(F.col("embedding").isNull() & (F.col("type") == "nation")).select("id", F.concat_ws(": ", "type", "name").alias("text"))), "SELECT id, concat(type, ': ', name) AS text FROM entity WHERE type = 'nation'")
 add("src16_relation_types", on_graph(ops.relation_tables), "SELECT DISTINCT rel_type FROM relation")
 
 # ---------------------------------------------------------------- aggregates
@@ -413,8 +412,6 @@ def _streamed(make: Callable[[DataFrame], DataFrame], label: str) -> Query:
 
 
 add("st1_dedup_errors", _streamed(lambda e: log_stream.dedup_errors(e).select("user_id", "event_type", "hour"), "st1"), "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events", graph=False)
-add("st2_hourly_counts", _streamed(log_stream.hourly_counts, "st2"))
-add("st3_crash_sessions", _streamed(log_stream.crash_sessions, "st3"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -496,3 +496,51 @@ def cypher(text: str, **params) -> Query:
 add("p9_not_pattern_rows", cypher("MATCH (n:Entity) WHERE n.type = 'nation' AND NOT (n)<-[:BELONGS_TO]-(:supplier) RETURN n.id AS id"), WITH + "SELECT id FROM entity e WHERE type = 'nation' AND NOT EXISTS (SELECT 1 FROM relation r JOIN entity s ON s.id = r.from_id AND s.type = 'supplier' WHERE r.to_id = e.id AND r.rel_type = 'BELONGS_TO')")
 add("p9_not_pattern_orders", cypher("MATCH (c:customer) WHERE NOT (c)-[:PLACED]->(:order) RETURN c.id AS id"), WITH + "SELECT id FROM entity e WHERE type = 'customer' AND NOT EXISTS (SELECT 1 FROM relation r JOIN entity s ON s.id = r.to_id AND s.type = 'order' WHERE r.from_id = e.id AND r.rel_type = 'PLACED')")
 add("crud16_parameters", cypher("MATCH (n:Entity) WHERE n.name = $x RETURN n.id AS id", x="ASIA' OR '1'='1"), WITH + "SELECT id FROM entity WHERE name = 'ASIA'' OR ''1''=''1'")
+
+# ---------------------------------------------------------------- state, sessions and the driver's small rules
+
+
+def _appended(make: Callable[[DataFrame], DataFrame], label: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return log_stream.run_available(make(log_stream.read_events(spark, sf_dir)), f"file://{_shared(spark, label)}")
+
+    return run
+
+
+add(
+    "w7_error_streaks", _appended(log_stream.error_streaks, "streaks"),
+    "WITH e AS (SELECT user_id, event_type = 'error' AS err, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events), "
+    "g AS (SELECT *, r - row_number() OVER (PARTITION BY user_id, err ORDER BY r) AS island FROM e), "
+    "s AS (SELECT user_id, min(r) AS first, max(r) AS last, any_value(n) AS n, count(*) AS errors FROM g WHERE err GROUP BY user_id, island) "
+    "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS ordinal, errors FROM s WHERE last < n",
+)
+add(
+    "st3_crash_sessions", _appended(log_stream.crash_sessions, "sessions"),
+    "WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), "
+    "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), "
+    "g AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS events, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM s GROUP BY user_id, k) "
+    "SELECT * FROM g WHERE \"end\" <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM events)",
+)
+add(
+    "a13_exec_counts", lambda spark, sf_dir: _exec_observations(spark, sf_dir).where(F.col("content").rlike("^(turns|total_tokens|tool_calls|files_touched): ")),
+    values_sql([r for r in _EXEC_SAID if r[0].split(":")[0] in ("turns", "total_tokens", "tool_calls", "files_touched")], "content"),
+)
+
+
+def _truthy(text: str) -> str:
+    from .api import truthy
+
+    return "y" if truthy(text) else "n"
+
+
+_SAID = [("1", "y"), ("0", "n"), ("off", "n"), ("No", "n"), ("FALSE", "n"), (" yes ", "y"), ("", "n"), ("{k}", "y")]
+add("sc23_truthy", lambda spark, sf_dir: _paths(spark, sf_dir, [p for p, _ in _SAID]).select("k", "path", _mapped(_truthy, F.col("path")).alias("truth")), values_sql(_SAID, "path, truth"))
+
+
+def _service_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .queries import _logs
+
+    return files.parse_logs(_logs(spark, sf_dir), 2024).select("path", "start", "end")
+
+
+add("sc13_log_times", _service_times, "SELECT concat('logs/', user_id, '.log') AS path, min(date_trunc('millisecond', ts)) AS start, max(date_trunc('millisecond', ts)) AS \"end\" FROM events GROUP BY user_id")
