@@ -16,6 +16,7 @@ from .operators import graph_ops as ops
 from .operators import perf, search
 from .plans import pattern, testgraph
 from .plans.testgraph import WITH
+from .session import spread
 from .sources import files
 from .streaming import log_stream
 
@@ -287,7 +288,9 @@ add(
 
 
 def _extraction(spark: SparkSession, sf_dir: str, table: str, path: str, content: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(path).alias("rel_path"), F.expr(content).cast("binary").alias("content"))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spread(rows, "p_partkey") if table == "part" else rows
+    rows = rows.select(F.expr(path).alias("rel_path"), F.expr(content).cast("binary").alias("content"))
     return files.extract_files(rows).entities.select("rel_path", "id", "name", "type")
 
 

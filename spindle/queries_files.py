@@ -25,6 +25,7 @@ from .functions.extract.registry import format_of
 from .plans import pattern
 from .plans.testgraph import WITH
 from .sources import files
+from .session import spread
 from .store import Store
 from .streaming import log_stream
 
@@ -62,7 +63,7 @@ def values_sql(rows: list[tuple[str, ...]], names: str, keep: str = "k") -> str:
 
 
 def file_rows(spark: SparkSession, sf_dir: str, path: str, text: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(F.expr(_KEY.format(text="STRING")).alias("k"), filled(path).alias("rel_path"), filled(text).cast("binary").alias("content"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.expr(_KEY.format(text="STRING")).alias("k"), filled(path).alias("rel_path"), filled(text).cast("binary").alias("content"))
 
 
 # ---------------------------------------------------------------- extractors
@@ -72,13 +73,12 @@ def extractor(name: str, path: str, text: str, found: dict[str, list[str]], call
     """Entities, relations and calls of one file for each part; ``found`` lists names by type, ``calls`` (caller, callee)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = file_rows(spark, sf_dir, path, text)
-        x = files.extract_files(rows)
-        key = lambda c: F.regexp_extract(c, r"(\d{8})", 1)
-        out = x.entities.select("rel_path", F.col("type").alias("what"), "name")
-        out = out.unionByName(x.relations.select(F.replace("from_id", F.lit("file:"), F.lit("")).alias("rel_path"), F.col("rel_type").alias("what"), F.col("to_id").alias("name")).distinct())  # as the loader takes them
-        out = out.unionByName(x.calls.select("rel_path", F.lit("call").alias("what"), F.concat_ws(" ", F.element_at(F.split("from_id", ":"), -1), "callee_name").alias("name")))
-        return out.select(key("rel_path").alias("k"), "what", "name")
+        x = files.extracted_files(file_rows(spark, sf_dir, path, text))
+        said = lambda what, name: F.struct(what.alias("what"), name.alias("name"))
+        entities = F.transform("x.entities", lambda e: said(e["type"], e["name"]))
+        relations = F.array_distinct(F.transform("x.relations", lambda r: said(r["rel_type"], r["to_id"])))  # as the loader takes them; all are from the file
+        calls = F.transform("x.calls", lambda c: said(F.lit("call"), F.concat_ws(" ", F.element_at(F.split(c["from_id"], ":"), -1), c["callee_name"])))
+        return x.select(F.regexp_extract("rel_path", r"(\d{8})", 1).alias("k"), F.inline(F.concat(entities, relations, calls)))
 
     kinds = {"function": "CONTAINS", "type": "CONTAINS", "topic": "CONTAINS", "import": "IMPORTS", "package": "BELONGS_TO"}
     rows = [("file", path)]
@@ -160,7 +160,7 @@ _EXEC_SAID = [("role: dev",), ("status: done",), ("task: part {k}",), ("turns: 3
 
 
 def _exec_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").select(F.expr(_KEY.format(text="STRING")).alias("k"), files.exec_lines(filled(_EXEC), filled(_META)).alias("x"))
+    rows = spread(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.expr(_KEY.format(text="STRING")).alias("k"), files.exec_lines(filled(_EXEC), filled(_META)).alias("x"))
     return rows.select("k", F.explode("x").alias("content"))
 
 
@@ -170,8 +170,9 @@ def _log_query(name: str, path: str, text: str, rows: list[tuple[str, str]], cou
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = file_rows(spark, sf_dir, path, text).select(F.col("rel_path").alias("path"), F.col("content").cast("string").alias("log_text"))
         r = files.parse_logs(df, year).withColumn("k", F.regexp_extract("path", r"(\d{8})", 1))
-        said = r.select("k", F.explode("entities").alias("e")).select("k", F.col("e.name").alias("entity"), F.explode("e.observations").alias("said"))
-        return said.unionByName(r.select("k", F.lit("").alias("entity"), F.concat_ws(" ", "lines", "errors", "warnings").alias("said")))
+        row = lambda entity, said: F.struct(entity.alias("entity"), said.alias("said"))
+        said = F.flatten(F.transform("entities", lambda e: F.transform(e["observations"], lambda o: row(e["name"], o))))
+        return r.select("k", F.inline(F.concat(said, F.array(row(F.lit(""), F.concat_ws(" ", "lines", "errors", "warnings"))))))
 
     add(name, run, values_sql([*rows, ("", " ".join(map(str, counts)))], "entity, said"))
 
@@ -227,7 +228,7 @@ def office(name: str, extension: str, parts: Callable[[str], dict[str, str]], ma
         return pa.array([_zipped(**parts(k)) for k in keys.to_pylist()], pa.binary())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = read(spark, sf_dir, "part").select(F.expr(_KEY.format(text="STRING")).alias("k"))
+        rows = spread(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.expr(_KEY.format(text="STRING")).alias("k"))
         return rows.select("k", converted(F.lit("f." + extension), F.arrow_udf(made, T.BinaryType())("k")).alias("c")).select("k", "c.markdown")
 
     add(name, run, values_sql([(markdown,)], "markdown"))

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,6 +28,17 @@ def get_session(app: str = "spindle", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+#: Rows that are worth a task of their own, where each is the work of a file.
+TASK_ROWS = 500
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that is small on disk, dealt to all tasks: by its few row groups one or two would do all the work of them."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, min(tasks, rows.count() // TASK_ROWS)), key)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers, once per application, unless their path has it already."""
     root = Path(__file__).resolve().parent.parent

@@ -279,7 +279,7 @@ def exec_logs(spark: SparkSession, tasks: str) -> DataFrame:
 def exec_lines(log: Column, meta: Column) -> Column:
     """EX30: the observations on an execution log and its metadata, in Arrow batches."""
     run = lambda texts, metas: pa.array([logs.exec_observations(t or "", m) for t, m in zip(texts.to_pylist(), metas.to_pylist())], pa.list_(pa.string()))
-    return F.arrow_udf(run, T.ArrayType(T.StringType()))(log, meta)
+    return F.arrow_udf(run, T.ArrayType(T.StringType())).asNondeterministic()(log, meta)  # called once, as extractors are
 
 
 _LOG_ENTITY = T.StructType(
@@ -320,7 +320,8 @@ def parse_logs(files: DataFrame, year: int, keep_stack: bool = False, registry:
 
         return pa.array([parse(p or "", t) for p, t in zip(paths.to_pylist(), texts.to_pylist())], to_arrow_type(LOG_RESULT))
 
-    return files.select("path", F.arrow_udf(batch, LOG_RESULT)("path", "log_text").alias("r")).where(F.col("r").isNotNull()).select("path", "r.*")
+    once = F.arrow_udf(batch, LOG_RESULT).asNondeterministic()  # else each filter and generator above has it called again
+    return files.select("path", once("path", "log_text").alias("r")).where(F.col("r").isNotNull()).select("path", "r.*")
 
 
 def app_logs(spark: SparkSession, root: str, year: int, scope: Scope | None = None, keep_stack: bool = False) -> DataFrame:

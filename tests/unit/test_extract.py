@@ -117,3 +117,43 @@ def test_udf(spark):
     x = extract_files(spark.createDataFrame(rows, "rel_path string, content binary"))
     assert {r["id"] for r in x.entities.collect()} >= {"function:a.py:run", "file:d.md"} and x.calls.count() == 1
     assert [r["rel_path"] for r in x.errors.collect()] == ["c.yaml"]
+
+
+def test_yaml_parsers_make_the_same_records(monkeypatch):
+    """The parser in C is asked where both agree; what it can't read, and what only one of them reads, is as the one in Python has it."""
+    import yaml
+
+    texts = [
+        "kind: Deployment\nname: app\nitems:\n- {name: flow, k: [a, b]}\n- image: 'img:1'\n", "a: |\n  kind: no\nname: >-\n  folded\n---\nother: yes\n", "one: 1\n--- {\n", "name: |# x", "a: &x\n  name: far\nb: *x\n", "name: h\u00e9 there\n", "kind:\t@tab\n",
+        "", "name: [\n", "job:\n - stage: first stage\n - stage: 'second: stage'\n",
+    ]
+    got = [d.yaml("d/a.yaml", t).row() for t in texts]
+    monkeypatch.setattr(yaml, "SafeLoader", None)  # from here on a text for it alone can't be read
+    assert d.yaml("d/a.yaml", texts[0]).row() == got[0]
+    monkeypatch.undo()
+    monkeypatch.delattr(yaml, "CSafeLoader", raising=False)
+    assert got == [d.yaml("d/a.yaml", t).row() for t in texts]
+
+
+#: Queries that make a file of each row of a table which is small on disk.
+ONCE = [
+    "ex18_yaml",
+]
+
+
+@pytest.fixture(scope="module")
+def many_parts(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("parts")
+    rows = spark.range(3000).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(1 AS INT) AS p_size")
+    rows.coalesce(1).write.parquet(str(folder / "part.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_a_file_is_read_once_and_in_all_tasks(spark, many_parts, name):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()[name](spark, many_parts)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == (2 if name.startswith("md") else 1)  # office files are made before they are read
+    assert df.rdd.getNumPartitions() == 4
