@@ -138,6 +138,7 @@ def test_yaml_parsers_make_the_same_records(monkeypatch):
 #: Queries that make a file of each row of a table which is small on disk.
 ONCE = [
     "ex18_yaml",
+    "ex12_jsx",
 ]
 
 
