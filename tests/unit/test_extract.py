@@ -139,6 +139,7 @@ def test_yaml_parsers_make_the_same_records(monkeypatch):
 ONCE = [
     "ex18_yaml",
     "ex12_jsx",
+    "ex11_csharp",
 ]
 
 
