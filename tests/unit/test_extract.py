@@ -140,6 +140,7 @@ ONCE = [
     "ex18_yaml",
     "ex12_jsx",
     "ex11_csharp",
+    "ex2_go",
 ]
 
 
