@@ -141,6 +141,7 @@ ONCE = [
     "ex12_jsx",
     "ex11_csharp",
     "ex2_go",
+    "ex10_ruby",
 ]
 
 
