@@ -142,6 +142,7 @@ ONCE = [
     "ex11_csharp",
     "ex2_go",
     "ex10_ruby",
+    "ex21_graphql",
 ]
 
 
