@@ -143,6 +143,7 @@ ONCE = [
     "ex2_go",
     "ex10_ruby",
     "ex21_graphql",
+    "ex18_yaml_names",
 ]
 
 
