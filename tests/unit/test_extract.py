@@ -144,6 +144,7 @@ ONCE = [
     "ex10_ruby",
     "ex21_graphql",
     "ex18_yaml_names",
+    "md8_xlsx",
 ]
 
 
