@@ -145,6 +145,7 @@ ONCE = [
     "ex21_graphql",
     "ex18_yaml_names",
     "md8_xlsx",
+    "ex1_python_walk",
 ]
 
 
