@@ -146,6 +146,7 @@ ONCE = [
     "ex18_yaml_names",
     "md8_xlsx",
     "ex1_python_walk",
+    "ex16_markdown",
 ]
 
 
