@@ -147,6 +147,7 @@ ONCE = [
     "md8_xlsx",
     "ex1_python_walk",
     "ex16_markdown",
+    "ex4_java",
 ]
 
 
