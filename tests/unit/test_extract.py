@@ -148,6 +148,7 @@ ONCE = [
     "ex1_python_walk",
     "ex16_markdown",
     "ex4_java",
+    "ex8_scala",
 ]
 
 
