@@ -149,6 +149,7 @@ ONCE = [
     "ex16_markdown",
     "ex4_java",
     "ex8_scala",
+    "ex33_logcat",
 ]
 
 
