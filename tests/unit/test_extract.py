@@ -150,6 +150,7 @@ ONCE = [
     "ex4_java",
     "ex8_scala",
     "ex33_logcat",
+    "ex12_typescript",
 ]
 
 
