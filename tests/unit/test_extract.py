@@ -151,6 +151,7 @@ ONCE = [
     "ex8_scala",
     "ex33_logcat",
     "ex12_typescript",
+    "ex17_html",
 ]
 
 
