@@ -152,6 +152,7 @@ ONCE = [
     "ex33_logcat",
     "ex12_typescript",
     "ex17_html",
+    "md7_docx",
 ]
 
 
