@@ -153,6 +153,7 @@ ONCE = [
     "ex12_typescript",
     "ex17_html",
     "md7_docx",
+    "ex5_kotlin",
 ]
 
 
