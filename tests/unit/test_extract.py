@@ -154,6 +154,7 @@ ONCE = [
     "ex17_html",
     "md7_docx",
     "ex5_kotlin",
+    "ex3_python_source",
 ]
 
 
