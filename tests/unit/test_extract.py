@@ -155,6 +155,7 @@ ONCE = [
     "md7_docx",
     "ex5_kotlin",
     "ex3_python_source",
+    "ex31_registry_and_ex35_observations",
 ]
 
 
