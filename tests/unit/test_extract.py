@@ -156,6 +156,7 @@ ONCE = [
     "ex5_kotlin",
     "ex3_python_source",
     "ex31_registry_and_ex35_observations",
+    "ex6_cpp",
 ]
 
 
