@@ -157,6 +157,7 @@ ONCE = [
     "ex3_python_source",
     "ex31_registry_and_ex35_observations",
     "ex6_cpp",
+    "ex23_cmake",
 ]
 
 
